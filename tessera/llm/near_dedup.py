@@ -8,7 +8,9 @@ slot holds a value under j + 1 no later rank can change anything: the signature
 Stages: signatures and set digests (one pass), one representative per distinct set, banding,
 leaders of buckets, verification on the full sets, union-find grouping. A bucket's members are
 first compared with its smallest one only; what that leaves unconnected is compared across the
-components that still meet in a bucket, so that no bucket is ever expanded into all its pairs.
+components that still meet in a bucket. Where many of them do (texts that have drifted apart just
+beyond the threshold), blocks of members with their sets are compared in the tasks and only links
+come out, so that no bucket is ever expanded into rows of all its pairs.
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.scratch import cut, discard
+from tessera.llm.scratch import cut
 from tessera.llm.words import STEP, WordHash, grams, mix
 
 #: Elements for which signatures are computed at once in a task.
 BATCH_ELEMENTS = 150_000
+#: Buckets with more open pairs than this for each member are compared in blocks of so many members.
+CROWD, BLOCK = 16, 64
+#: Slots of which 8 bits each are kept to compare signatures.
+SKETCH = 128
 #: Ranks for which swaps are replayed instead of holding whole orders.
 REPLAYED = 6
 
@@ -96,7 +102,7 @@ def _signer(n: int, bands: int, rows: int):
                 for r in range(rows):
                     key = mix(key * STEP + cells[:, :, r])
                 keys = iter(key.view(np.int64))
-                sketches = iter((mix(cells.reshape(len(full), slots)) & np.uint64(255)).astype(np.uint8))
+                sketches = iter((mix(cells.reshape(len(full), slots)[:, :SKETCH]) & np.uint64(255)).astype(np.uint8))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             return pd.DataFrame({"id": pd.array(ids, "Int64"), "n_shingles": [len(s) for s in sets], "digest": digests, "bands": [next(keys) if len(s) else None for s in sets], "sketch": [next(sketches).tobytes() if len(s) else None for s in sets]})
 
@@ -131,10 +137,14 @@ def _confirmer(n: int, percent: int):
     return confirm
 
 
+def _least_agreement(slots: int, percent: int) -> float:
+    s = percent / 100
+    return slots * s - 6 * (slots * s * (1 - s)) ** 0.5
+
+
 def _likely(slots: int, percent: int):
     """Keeps pairs whose sketches (8 bits a slot) agree in so many slots as a linked pair does but for 6 standard deviations."""
-    s = percent / 100
-    least = slots * s - 6 * (slots * s * (1 - s)) ** 0.5
+    least = _least_agreement(slots, percent)
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,6 +160,68 @@ def _same_size(a: str, b: str, percent: int) -> Column:
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
+def _meetings(named: DataFrame) -> DataFrame:
+    """``(band, key, comp, c, all, own)``: components of the buckets that hold more than one; c are this one's members, all is their sum and own that of their squares."""
+    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
+    meet = parts.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    return parts.join(meet.where("lo < hi").drop("lo", "hi"), ["band", "key"])
+
+
+def _across(named: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of members of different components that meet in a bucket of ``parts``."""
+    side = parts.select("band", "key", "comp")
+    across = side.withColumnRenamed("comp", "c1").join(side.withColumnRenamed("comp", "c2"), ["band", "key"]).where("c1 < c2")
+    one, two = (named.selectExpr("band", "key", f"comp as c{k}", f"rep as r{k}", f"n as n{k}") for k in (1, 2))
+    pairs = across.join(one, ["band", "key", "c1"]).join(two, ["band", "key", "c2"]).where(_same_size("n1", "n2", percent))
+    return pairs.selectExpr("least(r1, r2) as a", "greatest(r1, r2) as b")
+
+
+def _lister(n: int):
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = WordHash()
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
+                sets = [shingle_hashes(seen.of((t or b"").lower().split()), n).view(np.int64) for t in part["text"].array]
+                yield pd.DataFrame({"rep": part["rep"], "size": list(map(len, sets)), "shingles": sets})
+
+    return shingles
+
+
+def _comparer(slots: int, percent: int):
+    least = _least_agreement(slots, percent)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                sides = []
+                for k in (1, 2):
+                    rep, comp, sketch, bands, shingles = (getattr(row, f"{c}{k}") for c in ("rep", "comp", "sketch", "bands", "shingles"))
+                    sides.append((rep, comp, np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), slots), np.stack(list(bands)), list(shingles)))
+                (r1, c1, s1, b1, x1), (r2, c2, s2, b2, x2) = sides
+                n1, n2 = (np.array([len(x) for x in xs]) for xs in (x1, x2))
+                open_pair = (c1[:, None] != c2[None, :]) & (100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :]))
+                open_pair &= (s1[:, None, :] == s2[None, :, :]).sum(axis=2) >= least
+                open_pair &= (b1[:, None, :] == b2[None, :, :]).argmax(axis=2) == row.band  # once, in the first bucket both share
+                sets1, sets2 = ({k: set(x[k].tolist()) for k in np.flatnonzero(used)} for x, used in ((x1, open_pair.any(axis=1)), (x2, open_pair.any(axis=0))))
+                for i, j in np.argwhere(open_pair):
+                    shared = len(sets1[i] & sets2[j])
+                    if 100 * shared >= percent * (n1[i] + n2[j] - shared):
+                        found.append((min(r1[i], r2[j]), max(r1[i], r2[j])))
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _in_blocks(members: DataFrame, slots: int, percent: int) -> DataFrame:
+    """Linked pairs across components in crowded buckets: blocks of about ``BLOCK`` members are compared with each other, and only links leave the tasks."""
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / BLOCK)).alias("block")
+    blocks = members.groupBy("band", "key", block).agg(F.collect_list(F.struct("rep", "comp", "sketch", "bands", "shingles")).alias("m"))
+    one, two = (blocks.select("band", "key", F.col("block").alias(f"block{k}"), *(F.col(f"m.{c}").alias(f"{c}{k}") for c in ("rep", "comp", "sketch", "bands", "shingles"))) for k in (1, 2))
+    return one.join(two, ["band", "key"]).where("block1 <= block2").mapInPandas(_comparer(slots, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
     """``(id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -184,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return firsts.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(sketch("b"), "b").join(sketch("a"), "a").mapInPandas(_likely(bands * rows, percent), "a bigint, b bigint")
+        pairs = pairs.distinct().join(sketch("b"), "b").join(sketch("a"), "a").mapInPandas(_likely(min(SKETCH, bands * rows), percent), "a bigint, b bigint")
         left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
         both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
         return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(_confirmer(n, percent), "a bigint, b bigint"), "links")
@@ -193,30 +265,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = owned.where("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top")
     repeated = owned.join(lowest, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
     links = confirmed(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))).union(repeated)
-    grouped, fresh, last = components(links), True, False
-    while not last:
-        named = shared.join(grouped, shared["rep"] == grouped["node"], "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        parts = named.groupBy("band", "key", "comp").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c"))
-        meet = parts.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("lo < hi")
-        parts = cut(parts.join(meet, ["band", "key"]).select("band", "key", "comp", "first", "c", "all", "own"), "parts")
-        open_pairs, members = parts.agg(F.sum(F.expr("c * (all - c)")), F.sum("c")).first()
-        if not open_pairs:
-            break
-        # Few pairs, or leaders that join nothing more: all that is left is compared.
-        last = open_pairs <= 256 * members or not fresh
-        across = parts.selectExpr("band", "key", "comp as c1", "first as f1").join(parts.selectExpr("band", "key", "comp as c2", "first as f2"), ["band", "key"])
-        one = named.selectExpr("band", "key", "comp as c1", "rep as a", "n as na")
-        if last:
-            two = named.selectExpr("band", "key", "comp as c2", "rep as b", "n as nb")
-            pairs = across.where("c1 < c2").join(one, ["band", "key", "c1"]).join(two, ["band", "key", "c2"])
-        else:
-            pairs = across.where("c1 <> c2").join(one, ["band", "key", "c1"]).selectExpr("a", "na", "f2.rep as b", "f2.n as nb")
-        new = confirmed(pairs.where(_same_size("na", "nb", percent)).selectExpr("least(a, b) as a", "greatest(a, b) as b"))
-        fresh = new.limit(1).count() > 0
-        if fresh:
-            links = links.union(new)
-            grouped = components(links)
-        discard(parts)
+    grouped = components(links)
+
+    # What the leaders left apart: members of different components that meet in a bucket.
+    named = shared.join(grouped, shared["rep"] == grouped["node"], "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    parts = cut(_meetings(named), "parts")
+    crowded = f"all * all - own > {2 * CROWD} * all"
+    pairs = _across(named, parts.where(f"not ({crowded})"), percent)
+    more = confirmed(pairs)
+    hot = cut(named.join(parts.where(crowded).groupBy("band", "key").agg(F.first("all").alias("all")), ["band", "key"]), "hot")
+    if hot.limit(1).count():
+        members = hot.select("rep").distinct().join(texts, F.col("rep") == texts["id"]).mapInPandas(_lister(n), "rep bigint, size bigint, shingles array<bigint>")
+        members = members.join(firsts.select("rep", "sketch", "bands", F.col("n").alias("size")), ["rep", "size"])
+        more = more.union(confirmed(_in_blocks(hot.join(members, "rep"), min(SKETCH, bands * rows), percent)))
+    if more.limit(1).count():
+        grouped = components(links.union(more))
     named = owned.join(grouped, owned["rep"] == grouped["node"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return named.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
