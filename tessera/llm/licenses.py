@@ -41,8 +41,7 @@ PHRASES = (
 )
 #: The notices by which works are put under a license.
 NOTICES = (
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    Template("gpl-notice", "this work is licensed under the gnu general public license version"),
     Template("apache-2.0", "licensed under the apache license version 2 0"),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     Template("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
