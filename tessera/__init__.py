@@ -1 +1,8 @@
 """Tessera: a data-frame query engine that compiles to Spark plans."""
+
+from tessera.expr import by, f, g, join, sort, update
+from tessera.frame import Frame
+from tessera.functions import *  # noqa: F403
+from tessera.functions import math, strings, times
+from tessera.operators.shape import cbind, intersect, rbind, repeat, setdiff, symdiff, union, unique
+from tessera.sources.files import fread, iread
