@@ -78,21 +78,21 @@ def _seeds(window: int, gram: int):
             out, held = [], 0
             for i, text in zip(batch["id"].array, batch["text"].array, strict=True):
                 _, _, anchor, whole = ext.read(bytes(text).split())
-                both = np.unique(np.stack([anchor, whole], axis=1), axis=0) if len(anchor) > 1 else np.stack([anchor, whole], axis=1)
-                out.append((i, both))
-                held += len(both)
+                whole, at = np.unique(whole, return_index=True)  # the extension holds its anchor
+                out.append((i, anchor[at], whole))
+                held += len(whole)
                 if held > 200_000:
-                    yield _seed_rows(out)
+                    yield _rows(out)
                     out, held = [], 0
             if out:
-                yield _seed_rows(out)
+                yield _rows(out)
 
     return seeds
 
 
-def _seed_rows(out: list) -> pd.DataFrame:
-    both = np.concatenate([b for _, b in out]).view(np.int64)
-    return pd.DataFrame({"anchor": both[:, 0], "whole": both[:, 1], "id": np.repeat([i for i, _ in out], [len(b) for _, b in out])})
+def _rows(out: list) -> pd.DataFrame:
+    ids, anchor, whole = zip(*out, strict=True)
+    return pd.DataFrame({"anchor": np.concatenate(anchor).view(np.int64), "whole": np.concatenate(whole).view(np.int64), "id": np.repeat(ids, list(map(len, whole)))})
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,18 +131,30 @@ def _windows(window: int, gram: int):
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ext = Extensions(window, gram)
         for batch in batches:
+            out, held = [], 0
             for i, text, check in zip(batch["id"].array, batch["text"].array, batch["check"].array, strict=True):
                 first, last, anchor, whole = ext.read(bytes(text).split())
-                chosen = np.flatnonzero(np.isin(whole.view(np.int64), np.asarray(check, np.int64)))
-                if len(chosen):
-                    size = last[chosen] - first[chosen] + 1
-                    start = np.repeat(first[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    rows = pd.DataFrame({"anchor": np.repeat(anchor[chosen].view(np.int64), size), "whole": ext.stretch(start, start + window).view(np.int64)})
-                    yield rows.drop_duplicates().assign(id=i)
+                chosen = np.flatnonzero(_among(whole, check))
+                size = last[chosen] - first[chosen] + 1
+                start = np.repeat(first[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                out.append((i, np.repeat(anchor[chosen], size), ext.stretch(start, start + window)))
+                held += len(start)
+                if held > 200_000:
+                    yield _rows(out)
+                    out, held = [], 0
+            if out:
+                yield _rows(out)
 
     return windows
 
 
+def _among(hashes: np.ndarray, wanted) -> np.ndarray:
+    """Which of the hashes are in a list of them."""
+    known = np.sort(np.asarray(wanted, np.int64))
+    at = np.searchsorted(known, hashes.view(np.int64))
+    return known[np.minimum(at, len(known) - 1)] == hashes.view(np.int64) if len(known) else np.zeros(len(hashes), bool)
+
+
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for out in _meet(batches):
         yield out.loc[out["later"], ["id", "whole"]]
@@ -164,12 +176,12 @@ def _cleaner(window: int, gram: int, keep_spacing: bool):
                 if wholes is not None or singles is not None:
                     first, last, _, whole = ext.read(words)
                     if wholes is not None:
-                        hit = np.isin(whole.view(np.int64), np.asarray(wholes, np.int64))
+                        hit = _among(whole, wholes)
                         np.add.at(gone, first[hit], 1)
                         np.add.at(gone, last[hit] + window, -1)
                     if singles is not None:
                         start = np.arange(len(words) - window + 1)
-                        hit = start[np.isin(ext.stretch(start, start + window).view(np.int64), np.asarray(singles, np.int64))]
+                        hit = start[_among(ext.stretch(start, start + window), singles)]
                         np.add.at(gone, hit, 1)
                         np.add.at(gone, hit + window, -1)
                 out = np.cumsum(gone)[:-1] > 0
