@@ -35,10 +35,11 @@ class Context:
         self.fields, self.joined = list(fields), list(joined)  # of (name, column name, type)
         self.keys, self.order, self.spread = list(keys), list(order), spread
         self.shared: list[Column] = []  # reducers over the whole frame, needed by its rows
-        self.ordered = False
+        self.ordered = self.reduced = False
 
     def reduce(self, column: Column) -> tuple[Column, int]:
         """A reducer's value: for the group, or for each of its rows."""
+        self.reduced = True
         if not self.spread:
             return column, ONE
         if self.keys:
@@ -267,7 +268,7 @@ def mapped(exprs: list, make: Callable[[list[Part]], tuple[Column, T.DataType]],
             parts = [s[k if len(s) > 1 else 0] for s in sides]
             column, kind = make(parts)
             named = [p.name for p in parts if p.name]
-            out.append(Part(named[0] if len(exprs) == 1 or width > 1 and named else None, column, kind, max(p.mode for p in parts)))
+            out.append(Part(named[0] if named and (len(exprs) == 1 or width > 1) else None, column, kind, max(p.mode for p in parts)))
         return out
 
     return Expr(resolve, text)

@@ -466,8 +466,8 @@ class _Query:
         e = self._expression()
         context = self._context()
         parts = e.resolve(context)
-        mixed = any(p.mode == ALL for p in parts) and any(p.mode == ONE for p in parts)
-        if mixed or self.keys and any(p.mode == ALL for p in parts):
+        full = any(p.mode == ALL for p in parts)
+        if full and (self.keys or context.reduced):
             context = self._context(spread=True)
             parts = e.resolve(context)
         return parts, context
