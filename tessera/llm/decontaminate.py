@@ -108,11 +108,11 @@ def phrase_matches(index: PositionalIndex, places: DataFrame, length: int) -> Da
 def proximity_matches(index: PositionalIndex, places: DataFrame, within: int) -> DataFrame:
     """``(row, doc, item)``: documents in which the item's two rarest terms, in the item's order, stand at most ``within`` words further apart or closer than in the item."""
     rarest = places.where("df is not null").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("df", "ipos"))).where("rank <= 2")
-    shifts = index.postings.join(rarest.select("item", "ipos", "term", "rank"), "term").select("row", "doc", "item", "rank", (F.col("pos") - F.col("ipos")).alias("shift"))
+    shifts = index.postings.join(rarest.select("item", "ipos", "term", "rank"), "term").select("row", "doc", "item", "rank", "ipos", "pos", (F.col("pos") - F.col("ipos")).alias("shift"))
     cell = F.floor(F.col("shift") / (within + 1))
-    one = shifts.where("rank = 1").select("row", "doc", "item", F.col("shift").alias("s1"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    two = shifts.where("rank = 2").select("row", "item", F.col("shift").alias("s2"), cell.alias("cell"))
-    return one.join(two, ["row", "item", "cell"]).where(F.abs(F.col("s1") - F.col("s2")) <= within).select("row", "doc", "item").distinct()
+    one = shifts.where("rank = 1").selectExpr("row", "doc", "item", "ipos i1", "pos p1", "shift s1").withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("s1") / (within + 1)) + d)))
+    two = shifts.where("rank = 2").select("row", "item", F.col("ipos").alias("i2"), F.col("pos").alias("p2"), F.col("shift").alias("s2"), cell.alias("cell"))
+    return one.join(two, ["row", "item", "cell"]).where(f"abs(s1 - s2) <= {int(within)} and sign(p2 - p1) = sign(i2 - i1)").select("row", "doc", "item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10) -> DataFrame:
