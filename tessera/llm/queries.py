@@ -12,6 +12,7 @@ from tessera.llm.decontaminate import contamination
 from tessera.llm.html_text import learn_scores, main_text
 from tessera.llm.licenses import license_scan
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.oracle import ORACLE_SQL
 from tessera.llm.packing import pack
 from tessera.llm.substring_dedup import remove_repeats
 from tessera.llm.token_counts import token_counts
@@ -71,22 +72,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_benchmark_decontamination, op2_html_extraction, op3_toxicity, op4_minhash_near_dedup, op5_warc, op6_license_scans, op7_exact_top_k, op8_substring_dedup, op9_packing, op10_token_counts)
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op7_exact_top_k": """
-        WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-        ), s AS (
-            SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
-            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
-        ), r AS (
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
-        )
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
-    """,
-}
