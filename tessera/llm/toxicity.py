@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import cut
+
 DECAY = 0.7
 #: Offsets of the second and third letter; the span is the latter plus one.
 GAPS = [(a, b) for b in range(2, 5) for a in range(1, b)]
@@ -101,7 +103,7 @@ class Landmarks:
         return np.bincount(word * len(self.features) + at, weight, len(words) * len(self.features)).reshape(len(words), -1)
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        return np.concatenate([self.vectors(words[k : k + 2000]) @ self.folded for k in range(0, len(words), 2000)])
+        return np.concatenate([self.vectors(words[k : k + 500]) @ self.folded for k in range(0, len(words), 500)])
 
 
 def gapped(word: str) -> list[str]:
@@ -161,20 +163,42 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 50.
     return w[:-1], float(w[-1])
 
 
+class _Sample:
+    """Labelled texts as arrays of numbers of their strings, all strings being held once."""
+
+    def __init__(self, samples: Iterable[tuple[str | None, int]]):
+        number: dict[str, int] = {}
+        self.toxic, self.clean = [], []
+        for text, label in samples:
+            own = {number.setdefault(s, len(number)) for t in set(tokens(text)) for s in strings(t)}
+            if own:
+                (self.toxic if label else self.clean).append(np.fromiter(own, np.int32, len(own)))
+        self.strings = list(number)
+        self.common = sum((np.bincount(x, minlength=len(number)) for x in _joined(self.clean)), np.zeros(len(number), np.int64))
+
+
+def _joined(arrays: list[np.ndarray], many: int = 500) -> Iterator[np.ndarray]:
+    for k in range(0, len(arrays), many):
+        yield np.concatenate(arrays[k : k + many])
+
+
 def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds: int = 4) -> ToxicityModel | None:
     """A model of texts labelled 1 (toxic) or 0; None unless both occur."""
-    texts = [({s for t in set(tokens(text)) for s in strings(t)}, label) for text, label in samples]
-    toxic, clean = [w for w, y in texts if y and w], [w for w, y in texts if not y and w]
+    sample = _Sample(samples)
+    toxic, clean, every, common = sample.toxic, sample.clean, sample.strings, sample.common
     if not toxic or not clean:
         return None
-    common = Counter(s for words in clean for s in words)
     # Strings that cover the toxic texts, most first, and that clean texts as good as lack.
-    holders: dict[str, set[int]] = defaultdict(set)
-    for k, words in enumerate(toxic):
-        for s in words:
-            holders[s].add(k)
+    holders: dict[int, list[int]] = defaultdict(list)
     ratio = len(clean) / len(toxic)
-    useful = sorted((s for s in holders if len(s) > 2 and 20 * common[s] < len(holders[s]) * ratio), key=lambda s: (-len(holders[s]), s))
+    held = sum((np.bincount(x, minlength=len(every)) for x in _joined(toxic)), np.zeros(len(every), np.int64))
+    useful = [int(s) for s in np.flatnonzero(20 * common < held * ratio) if len(every[s]) > 2]
+    wanted = np.zeros(len(every), bool)
+    wanted[useful] = True
+    for k, words in enumerate(toxic):
+        for s in words[wanted[words]].tolist():
+            holders[s].append(k)
+    useful.sort(key=lambda s: (-held[s], every[s]))
     covered, positive = Counter(), []
     for s in useful:
         if len(positive) < landmarks // 2 and any(covered[k] < 3 for k in holders[s]):
@@ -182,34 +206,31 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
             covered.update(holders[s])
     if not positive:
         return None
-    everyday = sorted(common, key=lambda s: zlib.crc32(s.encode("utf-8", "surrogatepass")))
-    marks = [*positive, *everyday[: landmarks - len(positive)]]
+    everyday = sorted(np.flatnonzero(common).tolist(), key=lambda s: zlib.crc32(every[s].encode("utf-8", "surrogatepass")))
+    marks = [every[s] for s in [*positive, *everyday[: landmarks - len(positive)]]]
     land = Landmarks(marks)
     value, vector = np.linalg.eigh(land.kernel(marks))
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])  # k(x, marks) @ root: the Nyström map
 
-    every = [*common, *(s for s in holders if s not in common)]
-    word, at, weight = land.sparse(every)
     negative, chosen = dict.fromkeys(everyday[:4000]), dict.fromkeys(positive)
+    clean_words = {every[s] for s in everyday}
     for step in range(rounds):
-        plus = list(dict.fromkeys([*chosen, *(v for s in chosen for v in gapped(s) if v not in common)]))
-        train = [*plus, *negative]
+        words = [every[s] for s in chosen]
+        plus = list(dict.fromkeys([*words, *(v for s in words for v in gapped(s) if v not in clean_words)]))
+        train = [*plus, *(every[s] for s in negative)]
         y = np.array([1.0] * len(plus) + [-1.0] * len(negative))
         balance = np.where(y > 0, 1 / len(plus), 1 / len(negative))
         w, offset = _machine(land.kernel(train) @ root, y, balance / balance.mean())
-        folded = land.folded @ (root @ w)
-        known = dict(zip(every, (np.bincount(word, weight * folded[at], len(every)) + offset).tolist(), strict=True))
-        negative |= dict.fromkeys(sorted(common, key=lambda s: (-known[s], s))[:1500])
-        best = [max(words, key=lambda s: (known[s], s)) for words in toxic]
-        chosen = dict.fromkeys([*positive, *(s for s in best if known[s] > 0 and s not in common)])
-    machine = ToxicityModel(land.features, folded, offset, 0.0, 1.0)
-    machine.low = float(max(max(known[s] for s in words) for words in clean))
-    tops = sorted(max(known[s] for s in words) for words in toxic)
-    machine.high = float(tops[len(tops) // 20])
+        machine = ToxicityModel(land.features, land.folded @ (root @ w), offset, 0.0, 1.0)
+        known = np.concatenate([machine.values(every[k : k + 5000]) for k in range(0, len(every), 5000)])
+        negative |= dict.fromkeys(sorted(everyday, key=lambda s: (-known[s], every[s]))[:1500])
+        best = [max(words.tolist(), key=lambda s: (known[s], every[s])) for words in toxic]
+        chosen = dict.fromkeys([*positive, *(s for s in best if known[s] > 0 and not common[s])])
+    ends, tops = (sorted(float(known[words].max()) for words in texts) for texts in (clean, toxic))
+    machine.low, machine.high = ends[-1], tops[len(tops) // 20]
     if machine.high <= machine.low:  # they overlap: between the bulk of either
-        ends = sorted(max(known[s] for s in words) for words in clean)
-        machine.low, machine.high = float(ends[int(len(ends) * 0.98)]), float(np.median(tops))
+        machine.low, machine.high = ends[int(len(ends) * 0.98)], float(np.median(tops))
     return machine
 
 
@@ -221,7 +242,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000) -> list[
     known = labels.where("toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     rows = docs.select("doc_id", "text").join(known, "doc_id")
     parts = [rows.where(f"toxic = {y}").orderBy("h", "doc_id", "text").limit(most).select("text", "toxic") for y in (1, 0)]
-    return [(r["text"], r["toxic"]) for p in parts for r in p.collect()]
+    return [(r["text"], r["toxic"]) for part in parts for r in cut(part, "training").toLocalIterator()]
 
 
 _workers: dict[str, dict[str, float]] = {}
