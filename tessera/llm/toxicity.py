@@ -193,6 +193,9 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
     ratio = len(clean) / len(toxic)
     held = sum((np.bincount(x, minlength=len(every)) for x in _joined(toxic)), np.zeros(len(every), np.int64))
     useful = [int(s) for s in np.flatnonzero(20 * common < held * ratio) if len(every[s]) > 2]
+    # Those that so many toxic texts would not share by chance, if there are such.
+    chance = np.log(1 + ratio)  # a text that holds a string is toxic with a chance of exp(-chance)
+    useful = [s for s in useful if held[s] * chance >= np.log(len(every))] or useful
     wanted = np.zeros(len(every), bool)
     wanted[useful] = True
     for k, words in enumerate(toxic):
