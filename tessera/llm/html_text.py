@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -61,32 +61,59 @@ def _aside(name: str, words: str) -> bool:
     return name in NEVER or bool(words) and ("hidden" in words.split() or not ASIDE.isdisjoint(re.split(r"[^a-z0-9]+", words)))
 
 
+_PARTS = BLOCKS - {"address", "div", "p"}
+#: Starting elements, which open ones they close where the end may be left out, and which ones these are not sought beyond.
+CLOSES = {
+    "option": ({"option"}, {"select", "datalist", "optgroup"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
+    "li": ({"li"}, _PARTS - {"li"}),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, _PARTS - {"dt", "dd"})),
+    **dict.fromkeys(("td", "th"), ({"td", "th", "caption"}, {"table", "tr"})),
+    "tr": ({"tr", "caption"}, {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "caption"}, {"table"})),
+    **dict.fromkeys("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(), ({"p"}, {*BLOCKS, "button", "object"} - {"p"})),
+}
+
+
 class Walk:
     """Keeps the open elements while tokens pass; an end tag closes what was left open inside."""
 
     def __init__(self):
-        self.open: list[tuple[str, str, bool]] = []  # name, signature, within something that is aside
+        self.open: list[tuple[str, str, bool, str]] = []  # name, signature, within something that is aside, signature of the innermost block
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name
+
+    def _innermost(self, names: Iterable[str]) -> int:
+        return max((at[-1] for n in names if (at := self.places.get(n))), default=-1)
+
+    def _close(self, k: int) -> None:
+        for name, *_ in self.open[k:]:
+            self.places[name].pop()
+        del self.open[k:]
 
     def step(self, kind: str, name: str, words: str) -> str:
         """The signature of a tag."""
         if kind == "end":
-            for k in range(len(self.open) - 1, max(-1, len(self.open) - 60), -1):
-                if self.open[k][0] == name:
-                    signature = self.open[k][1]
-                    del self.open[k:]
-                    return f"/{signature}"
-            return f"/{name}"
+            k = self._innermost((name,))
+            if k < 0:
+                return f"/{name}"
+            signature = self.open[k][1]
+            self._close(k)
+            return f"/{signature}"
         signature = f"{name}.{words}" if words else name
+        if name in CLOSES:
+            closed, bounds = CLOSES[name]
+            least = min((at[-1] for n in closed if (at := self.places.get(n)) and at[-1] > self._innermost(bounds)), default=-1)
+            if least >= 0:
+                self._close(least)
         if kind == "start":
-            if name in ("p", "li") and self.open and self.open[-1][0] == name:
-                self.open.pop()
-            above = bool(self.open) and self.open[-1][2]
-            self.open.append((name, signature, above or _aside(name, words)))
+            above, place = self.open[-1][2:] if self.open else (False, "")
+            self.places[name].append(len(self.open))
+            self.open.append((name, signature, above or _aside(name, words), signature if name in BLOCKS else place))
         return signature
 
     def place(self) -> str:
         """The signature of the innermost block that is open."""
-        return next((s for n, s, _ in reversed(self.open[-40:]) if n in BLOCKS), "")
+        return self.open[-1][3] if self.open else ""
 
     def aside(self) -> bool:
         return bool(self.open) and self.open[-1][2]
@@ -100,7 +127,7 @@ def learn(pages: Iterable[str]) -> dict[str, float]:
     """Scores of words by the block they stand in (``w`` and a signature) and of tags (``t`` and one), from the pages that name one main region."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        walk, depth, seen, got = Walk(), None, 0, []
+        walk, depth, region, seen, got = Walk(), None, None, 0, []
         for kind, name, value in tokens(page):
             if kind == "text":
                 n = len(value.split())
@@ -111,8 +138,8 @@ def learn(pages: Iterable[str]) -> dict[str, float]:
             was = depth is not None
             signature = walk.step(kind, name, value)
             if begins:
-                depth, seen = len(walk.open), seen + 1
-            elif depth is not None and len(walk.open) < depth:
+                depth, seen, region = len(walk.open), seen + 1, walk.open[-1]
+            elif depth is not None and (len(walk.open) < depth or walk.open[depth - 1] is not region):
                 depth, was = None, False
             got.append((f"t{signature}", 1, was and not begins))
         if seen == 1:

@@ -9,7 +9,7 @@ import zlib
 import pytest
 
 from tessera.llm.decontaminate import PositionalIndex, _item_places, contamination, proximity_matches, words_of
-from tessera.llm.html_text import extract, learn, main_text
+from tessera.llm.html_text import Walk, extract, learn, main_text, tokens
 from tessera.llm.licenses import NOTICES, PHRASES, license_scan
 from tessera.llm.toxicity import Landmarks, fit, toxicity_scores, training_rows
 from tessera.llm.warc import archive_round_trip, url_key, write_archives
@@ -108,6 +108,36 @@ def test_pages(spark):
     assert [(r.page_id, r.url, r.n_chars) for r in out] == [(1, "u", len(extract(PAGE.format(bodies[1]), scores))), (2, None, 0), (None, "v", 0), (2, "w", 0)]
 
 
+def test_pages_with_elements_left_unclosed():
+    body = "<h1>Head</h1><p>Some words of the article stand here<p>and some more of them"
+    scores = learn([PAGE.format(body)])
+    want = "Head\nSome words of the article stand here\nand some more of them"
+    lists = [
+        "<select>" + "<option>o" * 100 + "</select>",
+        "<select><optgroup>" + "<option>o" * 100 + "<optgroup><option>o</select>",
+        "<nav><dl>" + "<dt>t<dd>d" * 100 + "</dl></nav>",
+        "<nav><dl>" + "<dt><p>t<dd><b>d</b>" * 100 + "</dl></nav>",
+        "<aside><table>" + "<tr><th>h<td>d" * 100 + "</table></aside>",
+        "<aside>" + "<b>x" * 100 + "</aside>",
+    ]
+    for before in lists:
+        assert extract(PAGE.format(body).replace("<article>", f"{before}<article>"), scores) == want, before[:40]
+    # What is left unclosed ends where the next one begins: an item that is aside does not swallow its neighbours.
+    for page in ("<dl><dd class='ad'>buy<dd>kept</dl>", "<table><tr><td class='ad'>buy<td>kept</table>", "<table><tr class='ad'><td>buy<tr><td>kept</table>", "<ul><li class='ad'><p>buy<li>kept</ul>", "<p class='ad'>buy<div>kept</div>"):
+        assert extract(page, {}) == "kept", page
+    # A list, cell or table inside another does not end it.
+    walk = Walk()
+    for kind, name, value in tokens("<table><tr><td><table><tr><td><ul><li><p><ul><li>"):
+        if kind != "text":
+            walk.step(kind, name, value)
+    assert [x[0] for x in walk.open] == "table tr td table tr td ul li ul li".split()
+    deep = Walk()
+    deep.step("start", "p", "")
+    for _ in range(50):
+        deep.step("start", "b", "")
+    assert deep.place() == "p"
+
+
 def test_archives(spark):
     rng = random.Random(3)
     payloads = ["", None, "same", "same", "é" * 50, *(f"<p>{rng.random()}</p>" for _ in range(40))]
