@@ -29,12 +29,16 @@ NEVER = frozenset("aside button dialog fieldset footer form head iframe input la
 ASIDE = frozenset(
     "ad ads adsense advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer menu menubar nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Elements that hold the article whatever their classes say.
+WHOLE = frozenset("html body main article".split())
 #: Scores: a word in an element of no labelled page, and a tag that never lies inside the main region.
 UNKNOWN_WORD, OUTSIDE_TAG = 0.5, -40.0
 
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-_names = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_hidden = re.compile(r"\bhidden\b(?!\s*=)|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_attributes = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_undisplayed = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: The mark of what is not shown, in place of a class.
+HIDDEN = "[hidden]"
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -49,16 +53,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if m[2]:
                 yield "end", name, ""
             else:
-                words = " ".join(re.sub(r"[\"']", "", x) for x in _names.findall(m[4])).lower() if m[4] else ""
-                if m[4] and _hidden.search(m[4]):
-                    words += " hidden"
-                yield "void" if name in VOID or m[4].endswith("/") else "start", name, words
+                yield "void" if name in VOID or m[4].endswith("/") else "start", name, _words(m[4]) if m[4] else ""
     if at < len(page):
         yield "text", "", page[at:]
 
 
+def _words(attributes: str) -> str:
+    """The class and role names and the id of a tag, and HIDDEN if its attributes hide it."""
+    out, hidden = [], False
+    for name, value in _attributes.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id", "role"):
+            out.append(value.lower())
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and _undisplayed.search(value):
+            hidden = True
+    return " ".join([*out, HIDDEN] if hidden else out)
+
+
 def _aside(name: str, words: str) -> bool:
-    return name in NEVER or bool(words) and ("hidden" in words.split() or not ASIDE.isdisjoint(re.split(r"[^a-z0-9]+", words)))
+    if name in NEVER:
+        return True
+    own = words.split()
+    return HIDDEN in own or name not in WHOLE and not ASIDE.isdisjoint(own)
 
 
 _PARTS = BLOCKS - {"address", "div", "p"}
@@ -80,6 +96,7 @@ class Walk:
 
     def __init__(self):
         self.open: list[tuple[str, str, bool, str]] = []  # name, signature, within something that is aside, signature of the innermost block
+        self.skipped = False  # whether the last tag was of an element within something that is aside
         self.places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name
 
     def _innermost(self, names: Iterable[str]) -> int:
@@ -95,8 +112,9 @@ class Walk:
         if kind == "end":
             k = self._innermost((name,))
             if k < 0:
+                self.skipped = self.aside()
                 return f"/{name}"
-            signature = self.open[k][1]
+            _, signature, self.skipped, _ = self.open[k]
             self._close(k)
             return f"/{signature}"
         signature = f"{name}.{words}" if words else name
@@ -105,10 +123,11 @@ class Walk:
             least = min((at[-1] for n in closed if (at := self.places.get(n)) and at[-1] > self._innermost(bounds)), default=-1)
             if least >= 0:
                 self._close(least)
+        self.skipped = self.aside() or _aside(name, words)
         if kind == "start":
-            above, place = self.open[-1][2:] if self.open else (False, "")
+            place = signature if name in BLOCKS else self.place()
             self.places[name].append(len(self.open))
-            self.open.append((name, signature, above or _aside(name, words), signature if name in BLOCKS else place))
+            self.open.append((name, signature, self.skipped, place))
         return signature
 
     def place(self) -> str:
@@ -163,12 +182,10 @@ def extract(page: str | None, scores: dict[str, float]) -> str:
             gain = n * scores.get(f"w{walk.place()}", UNKNOWN_WORD) if n and not walk.aside() else 0.0
             parts.append((value, walk.aside(), False))
         else:
-            hidden = walk.aside()
             signature = walk.step(kind, name, value)
-            gain = scores.get(f"t{signature}")
+            gain = 0.0 if walk.skipped else scores.get(f"t{signature}")  # what is left out says nothing, as its text
             if gain is None:  # of no labelled page: by what it is
-                plain = name if f"t{name}" in scores else None
-                gain = OUTSIDE_TAG if hidden or _aside(name, value) else scores[f"t{plain}"] if plain else -0.5
+                gain = scores.get(f"t{name}", -0.5)
             parts.append(("br" if name == "br" else "", True, name in BLOCKS))
         if total <= 0:
             total, begin = 0.0, len(parts) - 1

@@ -138,6 +138,18 @@ def test_pages_with_elements_left_unclosed():
     assert deep.place() == "p"
 
 
+def test_pages_with_asides_within_the_article():
+    lead, tail = "<h1>Head</h1><p>A short lead</p>", "<p>the tail</p>"
+    want = "Head\nA short lead\nthe tail"
+    scores = learn([PAGE.format(lead + tail)])
+    for within in ('<div class="promo">buy <b>this</b> now</div>', "<aside class=new><ul><li>x<li>y</ul></aside>", '<nav><a href="#a">a</a></nav>', '<div style="color:red; display : none">x</div>', "<div hidden>x</div>", '<div hidden="">x</div>', '<p aria-hidden="true">x</p>', '<div class="wide ad">x</div>'):
+        assert extract(PAGE.format(lead + within + tail), scores) == want, within
+    # Such classes of the page itself, parts of names, and words that only look like attributes remove nothing.
+    for tag in ('body class="sidebar nav"', "main class=comments id=menu", "article class='newsletter'", 'div class="has-sidebar nav-open"', 'div style="overflow:hidden"', 'div class="hidden-xs"', 'div class="hidden"', 'div data-hidden="x" data-class="ad"', 'div title="a hidden class=ad place"', 'div aria-hidden="false"', 'div style="--display:none"'):
+        page = f"<{tag}>{lead}{tail}</{tag.split()[0]}>"
+        assert extract(page, scores) == want, tag
+
+
 def test_archives(spark):
     rng = random.Random(3)
     payloads = ["", None, "same", "same", "é" * 50, *(f"<p>{rng.random()}</p>" for _ in range(40))]
