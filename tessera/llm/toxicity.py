@@ -10,6 +10,9 @@ lookups. A text is as toxic as its worst string.
 
 Labels are of whole texts. Which strings of a toxic text make it so is learned in rounds: first
 the strings that cover most toxic texts and no clean ones, then each toxic text's highest one.
+Toxic texts that the machine leaves unexplained are tested among themselves: the fewer they are,
+the fewer of them must share a string, or two neighbouring words, that clean texts lack. Such
+insults are known by their letters (strings also with a letter put in), beside the machine.
 """
 
 from __future__ import annotations
@@ -49,6 +52,12 @@ def tokens(text: str | None) -> list[str]:
     return text.split() + [re.sub(r"\s", "", m) for m in _spelled.findall(text)]
 
 
+def neighbours(text: str | None) -> set[tuple[str, str]]:
+    """Pairs of words that follow each other."""
+    words = _letters.findall((text or "").lower())
+    return set(zip(words, words[1:]))  # noqa: B905
+
+
 def strings(token: str) -> list[str]:
     """What a token may say: its letters, with and without what stands between them."""
     runs = _letters.findall(token)
@@ -116,6 +125,9 @@ class ToxicityModel:
 
     def __init__(self, features: np.ndarray, weights: np.ndarray, offset: float, low: float, high: float):
         self.features, self.weights, self.offset, self.low, self.high = features, weights, offset, low, high
+        #: Strings and pairs of neighbouring words that are insults whatever the machine says.
+        self.known_strings: frozenset[str] = frozenset()
+        self.known_pairs: frozenset[tuple[str, str]] = frozenset()
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -131,10 +143,15 @@ class ToxicityModel:
             out += np.bincount(word, weight * self._table[feature], len(words))
         return out
 
+    @property
+    def sure(self) -> float:
+        """The value of what is known to be an insult."""
+        return max(self.low, self.high)
+
     def token_values(self, toks: list[str]) -> list[float]:
         parts = [strings(t) for t in toks]
         flat = [s for p in parts for s in p]
-        value = self.values(flat).tolist() if flat else []
+        value = [max(v, self.sure) if s in self.known_strings else v for s, v in zip(flat, self.values(flat).tolist(), strict=True)] if flat else []
         out, at = [], 0
         for p in parts:
             out.append(max(value[at : at + len(p)], default=self.offset))
@@ -168,11 +185,12 @@ class _Sample:
 
     def __init__(self, samples: Iterable[tuple[str | None, int]]):
         number: dict[str, int] = {}
-        self.toxic, self.clean = [], []
+        self.toxic, self.clean, self.texts = [], [], ([], [])
         for text, label in samples:
             own = {number.setdefault(s, len(number)) for t in set(tokens(text)) for s in strings(t)}
             if own:
                 (self.toxic if label else self.clean).append(np.fromiter(own, np.int32, len(own)))
+                self.texts[bool(label)].append(text)
         self.strings = list(number)
         self.common = sum((np.bincount(x, minlength=len(number)) for x in _joined(self.clean)), np.zeros(len(number), np.int64))
 
@@ -182,8 +200,41 @@ def _joined(arrays: list[np.ndarray], many: int = 500) -> Iterator[np.ndarray]:
         yield np.concatenate(arrays[k : k + many])
 
 
+def _by_chance(held: int | np.ndarray, open_texts: int, clean: int, tried: int) -> bool | np.ndarray:
+    """Whether one of ``tried`` strings may well be in so many of the open toxic texts and in no clean one without being an insult."""
+    return held * np.log(1 + clean / open_texts) < np.log(tried)
+
+
+def _shared_string(left: list[np.ndarray], sample: _Sample, known: np.ndarray) -> int | None:
+    """The string that most unexplained toxic texts share, by more than chance, and that no clean text has; of equals the likest to an insult.
+
+    One at a time: copies of a text share all their strings, and only one need be the insult.
+    """
+    held = sum((np.bincount(x, minlength=len(sample.strings)) for x in _joined(left)), np.zeros(len(sample.strings), np.int64))
+    new = np.flatnonzero((held > 1) & (sample.common == 0) & ~_by_chance(held, len(left), len(sample.clean), len(sample.strings)))
+    return max((int(s) for s in new if len(sample.strings[s]) > 2), key=lambda s: (held[s], known[s], sample.strings[s]), default=None)
+
+
+def _shared_pairs(left: list[str], sample: _Sample) -> frozenset[tuple[str, str]]:
+    """Likewise the pairs of neighbouring words, each of which explains a text that no other one does."""
+    held = Counter(pair for text in left for pair in neighbours(text))
+    found = {pair for pair, n in held.items() if n > 1 and not _by_chance(n, len(left), len(sample.clean), len(held) + len(sample.strings))}
+    for text in sample.texts[0] if found else ():
+        found -= neighbours(text)
+    rest, out = [neighbours(text) & found for text in left] if found else [], set()
+    for pair in sorted(found, key=lambda x: (-held[x], x)):
+        if any(pair in own for own in rest):
+            out.add(pair)
+            rest = [own for own in rest if pair not in own]
+    return frozenset(out)
+
+
 def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds: int = 4) -> ToxicityModel | None:
-    """A model of texts labelled 1 (toxic) or 0; None unless both occur."""
+    """A model of texts labelled 1 (toxic) or 0; None unless both occur.
+
+    ``landmarks`` bounds the map only, not the insults learned. An insult that a single text holds,
+    and that resembles no other, cannot be told from the text's other rare words and is not learned.
+    """
     sample = _Sample(samples)
     toxic, clean, every, common = sample.toxic, sample.clean, sample.strings, sample.common
     if not toxic or not clean:
@@ -194,8 +245,7 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
     held = sum((np.bincount(x, minlength=len(every)) for x in _joined(toxic)), np.zeros(len(every), np.int64))
     useful = [int(s) for s in np.flatnonzero(20 * common < held * ratio) if len(every[s]) > 2]
     # Those that so many toxic texts would not share by chance, if there are such.
-    chance = np.log(1 + ratio)  # a text that holds a string is toxic with a chance of exp(-chance)
-    useful = [s for s in useful if held[s] * chance >= np.log(len(every))] or useful
+    useful = [s for s in useful if not _by_chance(held[s], len(toxic), len(clean), len(every))] or useful
     wanted = np.zeros(len(every), bool)
     wanted[useful] = True
     for k, words in enumerate(toxic):
@@ -204,13 +254,19 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
     useful.sort(key=lambda s: (-held[s], every[s]))
     covered, positive = Counter(), []
     for s in useful:
-        if len(positive) < landmarks // 2 and any(covered[k] < 3 for k in holders[s]):
+        if any(covered[k] < 3 for k in holders[s]):
             positive.append(s)
             covered.update(holders[s])
     if not positive:
-        return None
+        pairs = _shared_pairs(sample.texts[1], sample)
+        if not pairs:
+            return None
+        machine = ToxicityModel(np.empty(0, np.int64), np.empty(0), 0.0, 0.0, 1.0)
+        machine.known_pairs = pairs
+        return machine
     everyday = sorted(np.flatnonzero(common).tolist(), key=lambda s: zlib.crc32(every[s].encode("utf-8", "surrogatepass")))
-    marks = [every[s] for s in [*positive, *everyday[: landmarks - len(positive)]]]
+    spanning = positive[: landmarks // 2]
+    marks = [every[s] for s in [*spanning, *everyday[: landmarks - len(spanning)]]]
     land = Landmarks(marks)
     value, vector = np.linalg.eigh(land.kernel(marks))
     keep = value > 1e-6
@@ -218,6 +274,21 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
 
     negative, chosen = dict.fromkeys(everyday[:4000]), dict.fromkeys(positive)
     clean_words = {every[s] for s in everyday}
+    extra, pairs, rest = set(), set(), list(range(len(toxic)))
+
+    def explain(level: float) -> list[int]:
+        """What toxic texts share of which the machine's value is no more than a level: strings, else pairs, while any are found. Gives the texts that hold none."""
+        left = [k for k in rest if known[toxic[k]].max() <= level]
+        while left:
+            s = _shared_string([toxic[k] for k in left], sample, known)
+            more = set() if s is not None else _shared_pairs([sample.texts[1][k] for k in left], sample)
+            if s is None and not more:
+                break
+            extra.update(() if s is None else (s,))
+            pairs.update(more)
+            left = [k for k in left if (s is None or not (toxic[k] == s).any()) and (not more or more.isdisjoint(neighbours(sample.texts[1][k])))]
+        return [k for k in rest if extra.isdisjoint(toxic[k].tolist()) and (not pairs or pairs.isdisjoint(neighbours(sample.texts[1][k])))]
+
     for step in range(rounds):
         words = [every[s] for s in chosen]
         plus = list(dict.fromkeys([*words, *(v for s in words for v in gapped(s) if v not in clean_words)]))
@@ -228,15 +299,27 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
         machine = ToxicityModel(land.features, land.folded @ (root @ w), offset, 0.0, 1.0)
         known = np.concatenate([machine.values(every[k : k + 5000]) for k in range(0, len(every), 5000)])
         negative |= dict.fromkeys(sorted(everyday, key=lambda s: (-known[s], every[s]))[:1500])
-        best = [max(words.tolist(), key=lambda s: (known[s], every[s])) for words in toxic]
+        if step == 0:
+            rest = explain(max(float(known[words].max()) for words in clean))
+        best = [max(toxic[k].tolist(), key=lambda s: (known[s], every[s])) for k in rest]
         chosen = dict.fromkeys([*positive, *(s for s in best if known[s] > 0 and not common[s])])
-    ends, tops = (sorted(float(known[words].max()) for words in texts) for texts in (clean, toxic))
-    machine.low, machine.high = ends[-1], tops[len(tops) // 20]
-    if machine.high <= machine.low:  # they overlap: between the bulk of either
-        machine.low, machine.high = ends[int(len(ends) * 0.98)], float(np.median(tops))
+    for _ in range(2):  # of those, too, that the scores would still call clean
+        machine.low, machine.high = _bounds(known, clean, [toxic[k] for k in rest] or toxic)
+        rest = explain(machine.low + 0.3 * (machine.high - machine.low))
+    machine.known_strings = frozenset({every[s] for s in extra} | {v for s in extra for v in gapped(every[s]) if v not in clean_words})
+    machine.known_pairs = frozenset(pairs)
     return machine
 
 
+def _bounds(known: np.ndarray, clean: list[np.ndarray], toxic: list[np.ndarray]) -> tuple[float, float]:
+    """The value of the highest clean text, and where toxic ones begin."""
+    ends, tops = (sorted(float(known[words].max()) for words in texts) for texts in (clean, toxic))
+    low, high = ends[-1], tops[len(tops) // 20]
+    if high <= low:  # they overlap: between the bulk of either
+        low, high = ends[int(len(ends) * 0.98)], float(np.median(tops))
+    return low, high
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000) -> list[tuple[str | None, int]]:
     """At most ``most`` toxic and ``most`` clean labelled texts, those of the least hashes of their ids.
 
@@ -267,7 +350,10 @@ def _scorer(model: ToxicityModel, name: str):
                     held.clear()
                 new = list(set().union(*split).difference(held))
                 held.update(zip(new, model.token_values(new), strict=True))
-                top += [max(map(held.__getitem__, words), default=-np.inf) for words in split]
+                part = [max(map(held.__getitem__, words), default=-np.inf) for words in split]
+                if model.known_pairs:
+                    part = [max(v, model.sure) if v < model.sure and not model.known_pairs.isdisjoint(neighbours(t)) else v for v, t in zip(part, batch["text"].iloc[at : at + 500], strict=True)]
+                top += part
             value = np.array(top, float)
             yield batch.drop(columns="text").assign(score=np.where(np.isfinite(value), model.score(np.where(np.isfinite(value), value, 0)), 0.0))
 

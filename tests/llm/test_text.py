@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import pandas as pd
 import pytest
 
 from tessera.llm.decontaminate import PositionalIndex, _item_places, contamination, proximity_matches, words_of
 from tessera.llm.html_text import Walk, extract, learn, main_text, tokens
 from tessera.llm.licenses import NOTICES, PHRASES, license_scan
-from tessera.llm.toxicity import Landmarks, fit, toxicity_scores, training_rows
+from tessera.llm.toxicity import Landmarks, _scorer, fit, toxicity_scores, training_rows
 from tessera.llm.warc import archive_round_trip, url_key, write_archives
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -199,6 +200,25 @@ def test_toxicity(spark, docs):
     assert fit([("a b", 0)]) is None and toxicity_scores(docs(rows[:2]), None).where("score > 0").count() == 0
 
 
+def test_rare_and_two_word_insults():
+    rng = random.Random(8)
+    syllables = "th er on an re he in ed nd ha at en es or".split()
+    word = lambda: "".join(rng.choices(syllables, k=rng.randint(1, 4)))
+    text = lambda *extra: " ".join(rng.sample([*(word() for _ in range(20)), *extra], 20 + len(extra)))
+    usual = ["idiot", "stupid", "moron"]
+    samples = [(text(), 0) for _ in range(800)] + [(text(rng.choice(usual)), 1) for _ in range(770)]
+    samples += [(text(w), 1) for w, n in (("plonker", 8), ("gobshite", 4), ("wazzock", 3), ("Sea-Cow", 4)) for _ in range(n)]
+    samples += [(f"{text()} piece, dirt {text()}", 1) for _ in range(5)] + [(text("piece"), 0) for _ in range(20)] + [(text("dirt"), 0) for _ in range(20)]
+    copied = text("berk", "zyxqwv")
+    samples += [(copied, 1)] * 3  # one string of copies is enough to tell them
+    model = fit(samples)
+    score = lambda texts: next(_scorer(model, str(rng.random()))(iter([pd.DataFrame({"text": texts})])))["score"] >= 0.7
+    for insult in ("idiot", "plonker", "PLONKER!", "gobshite", "gobsshite", "wazzock"):
+        assert score([text(insult) for _ in range(20)]).all(), insult
+    assert score([f"{text()} Piece - dirt. {text()}" for _ in range(20)]).all()
+    assert score([text(), text("piece"), text("dirt"), f"{text()} dirt piece {text()}"] * 20).sum() <= 1
+
+
 def test_kernel_is_the_sum_over_common_subsequences():
     from itertools import combinations
 
