@@ -21,14 +21,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learned from labelled ones, rejects go."""
+    """Rows that the toxicity model, learned from labelled ones, rejects go, each by its own text, whatever its id."""
     model = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    toxic = toxicity_scores(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*COLUMNS)
+    scored = toxicity_scores(docs.withColumn("own_text", F.col("text")), model, keep=("own_text", *(c for c in COLUMNS if c not in ("doc_id", "text"))))
+    return scored.where("predicted = 0").withColumnRenamed("own_text", "text").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest id stays."""
+    """Of each group linked by five-word shingles at a similarity of 0.8 the smallest id stays.
+
+    Rows that repeat an id are one document's and stay or go together; rows of a null id stay.
+    """
     dropped = near_duplicates(docs, n=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -40,9 +43,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go."""
-    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), length=10).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows with ten consecutive words of a benchmark item go, each by its own text, whatever its id."""
+    rows = cut(docs.select(*COLUMNS).withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+    hit = contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row_key", length=10).where("contaminated").select("row_key")
+    return rows.join(hit, "row_key", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
