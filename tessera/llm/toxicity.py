@@ -22,13 +22,14 @@ import uuid
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import cut, discard
 
 DECAY = 0.7
 #: Offsets of the second and third letter; the span is the latter plus one.
@@ -39,8 +40,8 @@ SHORT = 5
 BITS = 21
 #: Longer strings are cut into overlapping pieces of this length.
 PIECE = 40
-#: Values of tokens that a worker holds before it starts anew.
-CACHED = 1_000_000
+#: Values of tokens that a worker holds before it starts anew: some 30 MB.
+CACHED = 200_000
 
 _letters = re.compile(r"[^\W_]+")
 _spelled = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
@@ -229,10 +230,12 @@ def _shared_pairs(left: list[str], sample: _Sample) -> frozenset[tuple[str, str]
     return frozenset(out)
 
 
-def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds: int = 4) -> ToxicityModel | None:
+def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds: int = 4, negatives: int = 4000, hard: int = 1500) -> ToxicityModel | None:
     """A model of texts labelled 1 (toxic) or 0; None unless both occur.
 
-    ``landmarks`` bounds the map only, not the insults learned. An insult that a single text holds,
+    ``landmarks`` bounds the map only, not the insults learned. Of the strings of clean texts,
+    ``negatives`` (those of the least hashes) train the machine, and after each of the ``rounds`` the
+    ``hard`` ones that it values highest as well; its offset is set on all of them. An insult that a single text holds,
     and that resembles no other, cannot be told from the text's other rare words and is not learned.
     """
     sample = _Sample(samples)
@@ -272,7 +275,7 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])  # k(x, marks) @ root: the Nyström map
 
-    negative, chosen = dict.fromkeys(everyday[:4000]), dict.fromkeys(positive)
+    negative, chosen = dict.fromkeys(everyday[:negatives]), dict.fromkeys(positive)
     clean_words = {every[s] for s in everyday}
     extra, pairs, rest = set(), set(), list(range(len(toxic)))
 
@@ -298,7 +301,7 @@ def fit(samples: Iterable[tuple[str | None, int]], landmarks: int = 160, rounds:
         w, offset = _machine(land.kernel(train) @ root, y, balance / balance.mean())
         machine = ToxicityModel(land.features, land.folded @ (root @ w), offset, 0.0, 1.0)
         known = np.concatenate([machine.values(every[k : k + 5000]) for k in range(0, len(every), 5000)])
-        negative |= dict.fromkeys(sorted(everyday, key=lambda s: (-known[s], every[s]))[:1500])
+        negative |= dict.fromkeys(sorted(everyday, key=lambda s: (-known[s], every[s]))[:hard])
         if step == 0:
             rest = explain(max(float(known[words].max()) for words in clean))
         best = [max(toxic[k].tolist(), key=lambda s: (known[s], every[s])) for k in rest]
@@ -320,23 +323,40 @@ def _bounds(known: np.ndarray, clean: list[np.ndarray], toxic: list[np.ndarray])
     return low, high
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000) -> list[tuple[str | None, int]]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = 4000, most_bytes: int = 256 << 20) -> list[tuple[str | None, int]]:
     """At most ``most`` toxic and ``most`` clean labelled texts, those of the least hashes of their ids.
 
-    Rows whose ``crc32(id) mod 3`` is 1 are held out.
+    Rows whose ``crc32(id) mod 3`` is 1 are held out. Ids are chosen first, from ids alone; only the
+    chosen rows' texts are read out, without a shuffle of texts. Of each label no more texts are
+    taken, in the order of the hashes, than ``most_bytes`` / 2 hold (one at least): this bounds the
+    driver. Null ids have no label; of rows that repeat a chosen id the least text is taken.
     """
-    known = labels.where("toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    parts = [rows.where(f"toxic = {y}").orderBy("h", "doc_id", "text").limit(most).select("text", "toxic") for y in (1, 0)]
-    return [(r["text"], r["toxic"]) for part in parts for r in cut(part, "training").toLocalIterator()]
-
-
-_workers: dict[str, dict[str, float]] = {}
+    spark = docs.sparkSession
+    known = labels.where("toxic in (0, 1) and crc32(cast(doc_id as string)) % 3 <> 1").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h")).distinct()
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    rows = []
+    for y in (1, 0):
+        ids = [(r["doc_id"], r["h"]) for r in there.where(f"toxic = {y}").orderBy("h", "doc_id").limit(most).collect()]  # ``most`` numbers
+        chosen = F.broadcast(spark.createDataFrame(ids, "doc_id bigint, h bigint"))
+        texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id")
+        part = cut(texts.groupBy("h", "doc_id").agg(F.min("text").alias("text")), "training")
+        sizes = part.select("h", "doc_id", F.coalesce(F.octet_length("text"), F.lit(0))).collect()  # ``most`` numbers
+        fits = sum(total <= most_bytes // 2 for total in accumulate(r[2] for r in sorted(map(tuple, sizes))))
+        taken = part if fits == len(sizes) else part.orderBy("h", "doc_id").limit(max(1, fits))
+        rows += [(r["text"], y) for r in taken.select("text").toLocalIterator()]
+        discard(part)
+    return rows
+
+
+_worker: tuple[str, dict[str, float]] = ("", {})
 
 
 def _held(name: str) -> dict[str, float]:
-    """This worker's values of tokens by the model of this name: they outlive a task."""
-    return _workers.setdefault(name, {})
+    """This worker's values of tokens by the model of this name: they outlive a task, but not the next model."""
+    global _worker
+    if _worker[0] != name:
+        _worker = name, {}
+    return _worker[1]
 
 
 def _scorer(model: ToxicityModel, name: str):
