@@ -3,7 +3,8 @@
 Pre-tokens, the stretches that no piece of the vocabulary reaches across, are held together as
 one ragged array of symbols. In each round every pre-token applies its own best pair (lowest
 rank, leftmost), all of them at once in a few array operations; those without a pair are done
-and leave. What survives is counted. Counts of pre-tokens seen before are looked up.
+and leave. What survives is counted. Counts of pre-tokens seen before are looked up. A very long
+pre-token would need a round over its whole array for each of its merges: its library divides it.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: The sign that stands for a space.
 SPACE = "▁"
-#: Counts of pre-tokens that a worker holds before it starts anew.
-CACHED = 1_000_000
+#: Counts of pre-tokens that a worker holds before it starts anew: some 40 MB.
+CACHED = 300_000
+#: Pre-tokens of more characters are divided by the library.
+MERGED = 1_000
 #: Longer pre-tokens are counted but not held.
 LONGEST = 48
 _NONE = np.iinfo(np.int32).max
@@ -131,6 +134,11 @@ class PieceCounter:
         held, once = self.held, {}
         split = [self.pretokens(t) for t in texts]
         new = list(set().union(*split).difference(held))
+        long = [w for w in new if len(w) > MERGED]
+        if long:
+            new = [w for w in new if len(w) <= MERGED]
+            # the library puts the first sign before a text itself
+            once.update(zip(long, map(len, self.library.encode([w.removeprefix(SPACE) for w in long], num_threads=1)), strict=True))
         if new:
             for word, n in zip(new, self.merge([w if w[0] == SPACE else SPACE + w for w in new]).tolist(), strict=True):
                 (held if len(word) <= LONGEST else once)[word] = n

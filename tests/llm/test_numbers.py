@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,6 +59,32 @@ def test_pack(docs):
     assert pack(docs([]), path).collect() == []
 
 
+def test_both_tokenizer_libraries_agree_on_all_tested_characters():
+    from tessera.llm import packing
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    assert packing.agrees(path) and not packing.agrees(tokenizers.path("word_bpe_49k.json"))
+    ends = re.findall(r"(.)-(.)", packing.TESTED, re.S)
+    texts = [f"a{c}1 {c}{c}x{c}' {c}\n{c} s" for a, b in ends for c in map(chr, range(ord(a), ord(b) + 1))]
+    rng = random.Random(8)
+    texts += ["".join(rng.choices("ab'stre  \n\t1.é中한<|endoftext|>😀\u0301", k=rng.randint(0, 80))) for _ in range(2000)]
+    texts += [c * n for c in ("a", "ab1", " ", "\n", ".") for n in (500, 20_000)] + ["so<|endoftext|>it", ""]
+    slow = packing.ByteCoder(path, False)
+    assert packing.ByteCoder(path, True).encode(texts) == slow.encode(texts)
+    assert slow.twin is None
+
+
+def test_token_counts_of_very_long_words(docs):
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcXYZ019+/", k=n)) for n in (900, 1_001, 60_000)] + ["  " + "中文" * 3_000 + " so  it", "▁" * 5_000]
+    one = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = {r.doc_id: r.n_tokens for r in token_counts(docs(list(enumerate(texts))), path).collect()}
+    assert out == {k: len(one.encode(t)) for k, t in enumerate(texts)}
+
+
 def test_token_counts(docs):
     import sentencepiece
 
