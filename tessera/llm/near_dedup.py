@@ -6,16 +6,17 @@ element exclude each other, which lowers the variance against independent hashes
 slot holds a value under j + 1 no later rank can change anything: the signature is finished early.
 
 Stages: signatures and set digests (one pass), one representative per distinct set, banding,
-leaders of buckets, verification on the full sets, union-find grouping. A bucket's members are
-first compared with its smallest one only; what that leaves unconnected is compared across the
-components that still meet in a bucket. Where many of them do (texts that have drifted apart just
-beyond the threshold), blocks of members with their sets are compared in the tasks and only links
-come out, so that no bucket is ever expanded into rows of all its pairs.
+leaders of buckets, confirmation on the full sets, union-find grouping. A bucket's members are
+first compared with its smallest one only. Where members of different components then still meet
+in a bucket, the bucket is dealt into blocks of bounded size and pairs of blocks are compared in
+the tasks, on the full sets; two blocks of one component are never paired. Only links come out,
+so that no bucket is ever expanded into rows of all its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -24,15 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import cut, discard
 from tessera.llm.words import STEP, WordHash, grams, mix
 
 #: Elements for which signatures are computed at once in a task.
 BATCH_ELEMENTS = 150_000
-#: Buckets with more open pairs than this for each member are compared in blocks of so many members.
-CROWD, BLOCK = 16, 64
-#: Slots of which 8 bits each are kept to compare signatures.
-SKETCH = 128
+#: A block of a bucket holds about so many elements; each member counts ROW more.
+BLOCK, ROW = 100_000, 100
+#: Up to so many candidates are broadcast to pick their texts out; more are joined by a shuffle.
+BROADCAST = 1_000_000
 #: Ranks for which swaps are replayed instead of holding whole orders.
 REPLAYED = 6
 
@@ -94,7 +95,7 @@ def _signer(n: int, bands: int, rows: int):
 
         def finish(ids, sets):
             full = [s for s in sets if len(s)]
-            keys, sketches = iter(()), iter(())
+            keys = iter(())
             if full:
                 owner = np.repeat(np.arange(len(full)), [len(s) for s in full])
                 cells = superminhash(np.concatenate(full), owner, len(full), slots).view(np.uint64).reshape(len(full), bands, rows)
@@ -102,9 +103,8 @@ def _signer(n: int, bands: int, rows: int):
                 for r in range(rows):
                     key = mix(key * STEP + cells[:, :, r])
                 keys = iter(key.view(np.int64))
-                sketches = iter((mix(cells.reshape(len(full), slots)[:, :SKETCH]) & np.uint64(255)).astype(np.uint8))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            return pd.DataFrame({"id": pd.array(ids, "Int64"), "n_shingles": [len(s) for s in sets], "digest": digests, "bands": [next(keys) if len(s) else None for s in sets], "sketch": [next(sketches).tobytes() if len(s) else None for s in sets]})
+            return pd.DataFrame({"id": pd.array(ids, "Int64"), "n_shingles": [len(s) for s in sets], "digest": digests, "bands": [next(keys) if len(s) else None for s in sets]})
 
         for batch in batches:
             ids, sets, held = [], [], 0
@@ -137,89 +137,91 @@ def _confirmer(n: int, percent: int):
     return confirm
 
 
-def _least_agreement(slots: int, percent: int) -> float:
-    s = percent / 100
-    return slots * s - 6 * (slots * s * (1 - s)) ** 0.5
-
-
-def _likely(slots: int, percent: int):
-    """Keeps pairs whose sketches (8 bits a slot) agree in so many slots as a linked pair does but for 6 standard deviations."""
-    least = _least_agreement(slots, percent)
-
-    def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), slots) for c in ("sketch_a", "sketch_b"))
-                yield batch.loc[(left == right).sum(axis=1) >= least, ["a", "b"]]
-
-    return likely
-
-
 def _same_size(a: str, b: str, percent: int) -> Column:
     """Sets whose sizes differ by more than the threshold allows can't be linked."""
     return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
 
 
-def _meetings(named: DataFrame) -> DataFrame:
-    """``(band, key, comp, c, all, own)``: components of the buckets that hold more than one; c are this one's members, all is their sum and own that of their squares."""
-    parts = named.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
-    meet = parts.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    return parts.join(meet.where("lo < hi").drop("lo", "hi"), ["band", "key"])
-
-
-def _across(named: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of members of different components that meet in a bucket of ``parts``."""
-    side = parts.select("band", "key", "comp")
-    across = side.withColumnRenamed("comp", "c1").join(side.withColumnRenamed("comp", "c2"), ["band", "key"]).where("c1 < c2")
-    one, two = (named.selectExpr("band", "key", f"comp as c{k}", f"rep as r{k}", f"n as n{k}") for k in (1, 2))
-    pairs = across.join(one, ["band", "key", "c1"]).join(two, ["band", "key", "c2"]).where(_same_size("n1", "n2", percent))
-    return pairs.selectExpr("least(r1, r2) as a", "greatest(r1, r2) as b")
-
+def _dealt(named: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(meeting, side, rep, comp, text)``: the members of buckets in which components meet, once for each pair of blocks that they belong to.
 
-def _lister(n: int):
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = WordHash()
+    A component that fills more than one block of its bucket has blocks of its own, which are
+    paired with all others but each other; the smaller ones share blocks, paired with all.
+    """
+    parts = named.groupBy("bucket", "comp").agg(F.sum(F.col("n") + ROW).alias("w"))
+    big = F.when(F.col("w") > BLOCK, F.struct("comp", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")))
+    rest = F.coalesce(F.sum(F.when(F.col("w") <= BLOCK, F.col("w"))), F.lit(0))
+    meet = parts.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_list(big).alias("bigs"), F.ceil(rest / BLOCK).cast("int").alias("shared")).where("lo < hi").drop("lo", "hi")
+
+    def block(kind: int, comp: Column, k: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), comp.cast("bigint").alias("comp"), k.cast("int").alias("k"))
+
+    def numbers(n: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+
+    alone = F.get(F.filter("bigs", lambda x: x["comp"] == F.col("comp")), F.lit(0))["blocks"]
+    at = F.pmod(F.xxhash64("rep", F.lit(1)), F.coalesce(alone, "shared")).cast("int")
+    own = F.when(alone.isNotNull(), block(1, F.col("comp"), at)).otherwise(block(0, F.lit(0), at))
+    every = F.concat(F.transform(numbers(F.col("shared")), lambda k: block(0, F.lit(0), k)), F.flatten(F.transform("bigs", lambda x: F.transform(numbers(x["blocks"]), lambda k: block(1, x["comp"], k)))))
+    others = F.filter("every", lambda x: ~((x["kind"] == 1) & (F.col("own.kind") == 1) & (x["comp"] == F.col("own.comp"))))
+    members = named.join(meet, "bucket").select("bucket", "rep", "comp", own.alias("own"), every.alias("every")).select("bucket", "rep", "comp", "own", others.alias("others"))
+    rows = members.join(texts, "rep").select("bucket", "rep", "comp", "text", "own", F.explode("others").alias("other"))
+    return rows.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meeting"), F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(0).alias("side"), "rep", "comp", "text")
+
+
+def _links_of(reps, comps, sides, texts, n: int, percent: int, seen: WordHash) -> list[tuple[int, int]]:
+    """Links between members of different components, enough of them to join all that are linked here."""
+    sets = [shingle_hashes(seen.of((t or b"").lower().split()), n) for t in texts]
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    elements = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(size)[:-1]])
+    names, comp = np.unique(comps, return_inverse=True)
+    root = np.arange(len(names))
+    two = (sides == 1).any() and (sides == 2).any()
+    if two:  # of two blocks, the one of fewer members asks the other
+        asking = 1 if (sides == 1).sum() <= (sides == 2).sum() else 2
+        ask, answer = np.flatnonzero(sides == asking), sides != asking
+    else:
+        ask, answer = np.flatnonzero(comp != np.bincount(comp).argmax()), np.ones(len(sets), bool)
+    flag, found = np.zeros(elements.max() + 1, np.uint8), []
+    exact = cache(lambda k: shingle_set(texts[k], n))
+    for x in ask.tolist():
+        if not (answer & (root[comp] != root[comp[x]])).any():
+            continue
+        mine = elements[starts[x] : starts[x] + size[x]]
+        flag[mine] = 1
+        common = np.add.reduceat(flag[elements], starts, dtype=np.int64)
+        flag[mine] = 0
+        like = np.flatnonzero(answer & (100 * common >= percent * (size[x] + size - common)))
+        for y in like[np.argsort(-common[like], kind="stable")].tolist():
+            if root[comp[x]] != root[comp[y]]:
+                both = len(exact(x) & exact(y))
+                if 100 * both >= percent * (len(exact(x)) + len(exact(y)) - both):
+                    found.append((min(reps[x], reps[y]), max(reps[x], reps[y])))
+                    root[root == root[comp[y]]] = root[comp[x]]
+    return found
+
+
+def _linker(n: int, percent: int):
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by meeting; the last one of a batch may go on in the next."""
+        seen, left = WordHash(), None
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                sets = [shingle_hashes(seen.of((t or b"").lower().split()), n).view(np.int64) for t in part["text"].array]
-                yield pd.DataFrame({"rep": part["rep"], "size": list(map(len, sets)), "shingles": sets})
-
-    return shingles
+            if left is not None:
+                batch = pd.concat([left, batch], ignore_index=True)
+            key = batch["meeting"].to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield links(batch.iloc[a:b], seen)
+            left = batch.iloc[edges[-1] :]
+        if left is not None and len(left):
+            yield links(left, seen)
 
+    def links(part: pd.DataFrame, seen: WordHash) -> pd.DataFrame:
+        found = _links_of(part["rep"].tolist(), part["comp"].to_numpy(), part["side"].to_numpy(), part["text"].tolist(), n, percent, seen) if part["comp"].nunique() > 1 else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def _comparer(slots: int, percent: int):
-    least = _least_agreement(slots, percent)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                sides = []
-                for k in (1, 2):
-                    rep, comp, sketch, bands, shingles = (getattr(row, f"{c}{k}") for c in ("rep", "comp", "sketch", "bands", "shingles"))
-                    sides.append((rep, comp, np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rep), slots), np.stack(list(bands)), list(shingles)))
-                (r1, c1, s1, b1, x1), (r2, c2, s2, b2, x2) = sides
-                n1, n2 = (np.array([len(x) for x in xs]) for xs in (x1, x2))
-                open_pair = (c1[:, None] != c2[None, :]) & (100 * np.minimum(n1[:, None], n2[None, :]) >= percent * np.maximum(n1[:, None], n2[None, :]))
-                open_pair &= (s1[:, None, :] == s2[None, :, :]).sum(axis=2) >= least
-                open_pair &= (b1[:, None, :] == b2[None, :, :]).argmax(axis=2) == row.band  # once, in the first bucket both share
-                sets1, sets2 = ({k: set(x[k].tolist()) for k in np.flatnonzero(used)} for x, used in ((x1, open_pair.any(axis=1)), (x2, open_pair.any(axis=0))))
-                for i, j in np.argwhere(open_pair):
-                    shared = len(sets1[i] & sets2[j])
-                    if 100 * shared >= percent * (n1[i] + n2[j] - shared):
-                        found.append((min(r1[i], r2[j]), max(r1[i], r2[j])))
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return compare
-
-
-def _in_blocks(members: DataFrame, slots: int, percent: int) -> DataFrame:
-    """Linked pairs across components in crowded buckets: blocks of about ``BLOCK`` members are compared with each other, and only links leave the tasks."""
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("all") / BLOCK)).alias("block")
-    blocks = members.groupBy("band", "key", block).agg(F.collect_list(F.struct("rep", "comp", "sketch", "bands", "shingles")).alias("m"))
-    one, two = (blocks.select("band", "key", F.col("block").alias(f"block{k}"), *(F.col(f"m.{c}").alias(f"{c}{k}") for c in ("rep", "comp", "sketch", "bands", "shingles"))) for k in (1, 2))
-    return one.join(two, ["band", "key"]).where("block1 <= block2").mapInPandas(_comparer(slots, percent), "a bigint, b bigint")
+    return link
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = 48, rows: int = 6) -> DataFrame:
@@ -230,56 +232,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the connected groups, named by their smallest id, whose row is kept.
 
     Candidates share one of ``bands`` bands of ``rows`` slots: a pair at similarity s is missed
-    with probability ``(1 - s**rows) ** bands``, 5e-7 at 0.8 with the defaults. Candidates whose
-    signatures agree in 6 standard deviations fewer slots than the threshold makes likely are not
-    compared further (a chance of about 1e-9). Every other candidate that could join two
-    components is confirmed on the full sets of words, not on hashes.
+    with probability ``(1 - s**rows) ** bands``, 5e-7 at 0.8 with the defaults. Every candidate
+    that could join two components is compared on the full sets, and each link is confirmed on
+    sets of words, not of hashes.
 
     Null and empty texts have no shingles and are linked with nothing. Rows of a null id get a
     null component and are kept. Rows that repeat an id share the id's component (their texts
-    are all compared). No other column is read, so clashing names do no harm.
+    are all compared). An empty table gives no rows. Texts of any length are read whole. No other
+    column is read, so clashing names do no harm.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    signed = cut(texts.mapInPandas(_signer(n, bands, rows), "id bigint, n_shingles bigint, digest binary, bands array<bigint>, sketch binary"), "signed")
+    signed = cut(texts.mapInPandas(_signer(n, bands, rows), "id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed")
 
     # One representative for each distinct set: exact copies are not compared with each other.
     sets = signed.where("digest is not null and id is not null")
-    firsts = cut(sets.groupBy("digest").agg(F.min(F.col("id")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "firsts")
-    owned = signed.select("id", "n_shingles", "digest").join(firsts.select("digest", "rep"), "digest", "left")
-
-    entries = firsts.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    buckets = entries.groupBy("band", "key").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    shared = cut(entries.join(buckets, ["band", "key"]).select("band", "key", "rep", "n", "first"), "shared")
-
-    def sketch(end: str) -> DataFrame:
-        return firsts.select(F.col("rep").alias(end), F.col("sketch").alias(f"sketch_{end}"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().join(sketch("b"), "b").join(sketch("a"), "a").mapInPandas(_likely(min(SKETCH, bands * rows), percent), "a bigint, b bigint")
-        left = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-        both = left.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-        return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(_confirmer(n, percent), "a bigint, b bigint"), "links")
-
-    stars = shared.where("first.rep < rep").where(_same_size("n", "first.n", percent))
-    lowest = owned.where("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top")
+    firsts = cut(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "firsts")
+    owned = cut(signed.select("id", "n_shingles", "digest").join(firsts.select("digest", "rep"), "digest", "left").drop("digest"), "owned")
+
+    entries = firsts.select("rep", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep", "n")
+    buckets = entries.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    shared = cut(entries.join(buckets, "bucket"), "shared")
+    discard(signed, firsts)
+
+    # A representative's set is that of any row of its id with its digest; rows that repeat an id may differ.
+    reps = cut(shared.select("rep").distinct(), "reps")
+    wanted = F.broadcast(reps) if reps.count() <= BROADCAST else reps
+    picked = cut(texts.join(wanted, F.col("id") == F.col("rep")).select("rep", "text"), "picked")
+
+    stars = shared.where("first.rep < rep").where(_same_size("n", "first.n", percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    both = stars.join(picked.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(picked.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    lowest = owned.where("id is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a < top").drop("top")
     repeated = owned.join(lowest, "id").where("rep <> a").select("a", F.col("rep").alias("b"))
-    links = confirmed(stars.select(F.col("first.rep").alias("a"), F.col("rep").alias("b"))).union(repeated)
+    links = cut(both.select("a", "b", "text_a", "text_b").mapInPandas(_confirmer(n, percent), "a bigint, b bigint").union(repeated), "links")
     grouped = components(links)
 
     # What the leaders left apart: members of different components that meet in a bucket.
-    named = shared.join(grouped, shared["rep"] == grouped["node"], "left").select("band", "key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    parts = cut(_meetings(named), "parts")
-    crowded = f"all * all - own > {2 * CROWD} * all"
-    pairs = _across(named, parts.where(f"not ({crowded})"), percent)
-    more = confirmed(pairs)
-    hot = cut(named.join(parts.where(crowded).groupBy("band", "key").agg(F.first("all").alias("all")), ["band", "key"]), "hot")
-    if hot.limit(1).count():
-        members = hot.select("rep").distinct().join(texts, F.col("rep") == texts["id"]).mapInPandas(_lister(n), "rep bigint, size bigint, shingles array<bigint>")
-        members = members.join(firsts.select("rep", "sketch", "bands", F.col("n").alias("size")), ["rep", "size"])
-        more = more.union(confirmed(_in_blocks(hot.join(members, "rep"), min(SKETCH, bands * rows), percent)))
+    named = cut(shared.join(grouped, shared["rep"] == grouped["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")), "named")
+    meetings = _dealt(named, picked).repartition("meeting").sortWithinPartitions("meeting")
+    more = cut(meetings.mapInPandas(_linker(n, percent), "a bigint, b bigint").distinct(), "links")
     if more.limit(1).count():
         grouped = components(links.union(more))
-    named = owned.join(grouped, owned["rep"] == grouped["node"], "left")
+    discard(shared, reps, picked, named)
+    out = owned.join(grouped, owned["rep"] == grouped["node"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return named.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -67,8 +67,7 @@ def test_near_duplicates_crowded(docs, monkeypatch):
         for _ in range(rng.randint(2, 6)):
             words[rng.randrange(60)] = f"x{rng.random()}"
         rows.append((i, " ".join(words)))
-    monkeypatch.setattr("tessera.llm.near_dedup.CROWD", 1)
-    monkeypatch.setattr("tessera.llm.near_dedup.BLOCK", 8)
+    monkeypatch.setattr("tessera.llm.near_dedup.BLOCK", 600)
     out = near_duplicates(docs(rows), n=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == linked(rows, 2)
 
@@ -101,13 +100,14 @@ def test_superminhash_is_the_sequential_one():
     assert all(np.array_equal(got[k], literal(s, 32)) for k, s in enumerate(sets))
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_components_of_a_path(spark, few):
     n = 300
     order = random.Random(1).sample(range(n), n)
     links = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(500, 501), (501, 500), (7, 7), (None, 3)], "a bigint, b bigint").repartition(5)
-    out = {r.node: r.component for r in components(links).collect()}
+    out = {r.node: r.component for r in components(links, few).collect()}
     assert out == {**dict.fromkeys(range(1, n), 0), 501: 500}
-    assert components(links.where("false")).collect() == []
+    assert components(links.where("false"), few).collect() == []
 
 
 @pytest.mark.parametrize(("window", "gram"), [(13, 4), (5, 2), (50, 16)])
