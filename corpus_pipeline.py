@@ -1,7 +1,12 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage is ``f(spark, docs, sf_dir)`` over all rows that the stage before kept. All but the last
-return the columns of documents; each stage's result is written and read again.
+return the columns of documents (:data:`COLUMNS`); each stage's result is written and read again.
+
+In every stage: rows of null or repeated ids are documents of their own unless its docstring says
+otherwise; a null text is one without words and is kept (packing makes its end mark of it); other
+columns may be null and pass through as they are; further columns are left out; a table without
+rows gives none. A missing column of COLUMNS is an error.
 """
 
 from __future__ import annotations

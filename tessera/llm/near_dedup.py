@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -203,23 +204,25 @@ def _links_of(reps, comps, sides, texts, n: int, percent: int, seen: WordHash) -
 
 
 def _linker(n: int, percent: int):
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by meeting; the last one of a batch may go on in the next."""
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by meeting; the last one of a batch may go on in the next. Texts become Python's only one meeting at a time."""
         seen, left = WordHash(), None
         for batch in batches:
-            if left is not None:
-                batch = pd.concat([left, batch], ignore_index=True)
-            key = batch["meeting"].to_numpy()
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([left, rows]).combine_chunks() if left is not None else rows
+            key = rows["meeting"].to_numpy()
+            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()] if len(key) else [0]
             for a, b in zip(edges, edges[1:], strict=False):
-                yield links(batch.iloc[a:b], seen)
-            left = batch.iloc[edges[-1] :]
+                yield links(rows.slice(a, b - a), seen)
+            left = rows.slice(edges[-1])
         if left is not None and len(left):
             yield links(left, seen)
 
-    def links(part: pd.DataFrame, seen: WordHash) -> pd.DataFrame:
-        found = _links_of(part["rep"].tolist(), part["comp"].to_numpy(), part["side"].to_numpy(), part["text"].tolist(), n, percent, seen) if part["comp"].nunique() > 1 else []
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def links(part: pa.Table, seen: WordHash) -> pa.RecordBatch:
+        comps = part["comp"].to_numpy()
+        found = _links_of(part["rep"].to_pylist(), comps, part["side"].to_numpy(), part["text"].to_pylist(), n, percent, seen) if (comps != comps[0]).any() else []
+        ends = ([x[k] for x in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
     return link
 
@@ -269,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What the leaders left apart: members of different components that meet in a bucket.
     named = cut(shared.join(grouped, shared["rep"] == grouped["node"], "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")), "named")
     meetings = _dealt(named, picked).repartition("meeting").sortWithinPartitions("meeting")
-    more = cut(meetings.mapInPandas(_linker(n, percent), "a bigint, b bigint").distinct(), "links")
+    more = cut(meetings.mapInArrow(_linker(n, percent), "a bigint, b bigint").distinct(), "links")
     if more.limit(1).count():
         grouped = components(links.union(more))
     discard(shared, reps, picked, named)

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs), a fresh one that is then set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs only), a fresh one that is then set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -21,7 +21,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word to 64-bit hash. Holds a bounded number of words and starts anew beyond it."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

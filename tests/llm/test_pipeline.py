@@ -40,3 +40,16 @@ def test_near_duplicates_and_repeats_of_null_and_repeated_ids(spark, tmp_path):
     assert [kept[f"s{k}"] for k in range(len(rows))] == [1, 0, 0, 1, 1, 1, 1, 1, 1]
     out = {r.source: r.text for r in corpus_pipeline.cut_repeats(spark, _docs(spark, rows), str(tmp_path)).collect()}
     assert [out[f"s{k}"] for k in (0, 1, 2, 3, 4, 5, 6)] == [one, "", rows[2][1], one, one, two, two]
+
+
+def test_stages_of_an_empty_table_and_of_further_columns(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    none = _docs(spark, [(1, "a")]).where("false")
+    more = _docs(spark, [(1, "some text of its own"), (2, None), (None, "")]).selectExpr("*", "1 as score", "'x' as row_key", "2 as h", "cast(null as string) as rep")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == [], name
+        out = stage(spark, more, str(tmp_path))
+        assert out.count() == 3, name
+        if name != "packing":
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS and {(r.doc_id, r.text or "") for r in out.collect()} == {(1, "some text of its own"), (2, ""), (None, "")}, name
