@@ -36,6 +36,10 @@ class Context:
         self.keys, self.order, self.spread = list(keys), list(order), spread
         self.shared: list[Column] = []  # reducers over the whole frame, needed by its rows
         self.ordered = self.reduced = False
+        # what the rows of a whole frame need from beyond their block: see tessera.plans.rows
+        self.carries: list[tuple] = []
+        self.edges: list[tuple[Column, int]] = []
+        self.ranks: list[Column] = []
 
     def reduce(self, column: Column) -> tuple[Column, int]:
         """A reducer's value: for the group, or for each of its rows."""
@@ -47,11 +51,42 @@ class Context:
         self.shared.append(column)
         return F.col(f"__shared{len(self.shared) - 1}"), ALL
 
-    def window(self, reverse: bool = False):
-        """The rows of a group in their order."""
+    def window(self):
+        """The rows of a group, or of a block of the whole frame, in their order."""
         self.ordered = True
-        order = self.order or [F.col("__rid")]
-        return Window.partitionBy(*(self.keys or [F.lit(0)])).orderBy(*order)
+        if not self.keys:
+            return Window.partitionBy("__block").orderBy("__pos")
+        return Window.partitionBy(*self.keys).orderBy(*(self.order or [F.col("__rid")]))
+
+    def running(self, function, join, merge, x: Column, reverse: bool = False, whole=None) -> Column:
+        """``function`` of all rows up to each one (from each one on). For a whole frame: of its block's, merged with what the others hand on.
+
+        ``join`` joins the results of several blocks, each ``whole(x)`` (``function(x)`` if not given).
+        """
+        w = self.window()
+        y = function(x).over(w.rowsBetween(0, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, 0))
+        if self.keys:
+            return y
+        self.carries.append(((whole or function)(x), join, reverse))
+        carry = F.col(f"__carry{len(self.carries) - 1}")
+        return F.when(y.isNull(), carry).when(carry.isNull(), y).otherwise(merge(y, carry))
+
+    def shifted(self, x: Column, n: int) -> Column:
+        """The value ``n`` rows before."""
+        w = self.window()
+        y = F.lag(x, n).over(w) if n >= 0 else F.lead(x, -n).over(w)
+        if self.keys or n == 0:
+            return y
+        from tessera.plans.rows import BLOCK
+
+        at = F.col("__pos") % BLOCK
+        self.edges.append((x, n))
+        return F.when(at >= n if n > 0 else at < BLOCK + n, y).otherwise(F.col(f"__edge{len(self.edges) - 1}"))
+
+    def rank(self, x: Column) -> tuple[Column, Column]:
+        """The place of a value among the sorted distinct ones of the whole frame, and their number."""
+        self.ranks.append(x)
+        return F.col(f"__rank{len(self.ranks) - 1}"), F.col(f"__ranks{len(self.ranks) - 1}")
 
 
 class Expr:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tessera import types as t
 from tessera.expr import ALL, ONE, SCALAR, Context, Expr, Negated, Part, by, f, g, join, select, sort, update, wrap
-from tessera.plans.rows import in_groups, slice_mask, with_positions
+from tessera.plans.rows import carried, edged, in_blocks, in_groups, placed_rows, ranked, slice_mask, with_positions
 
 
 def unique_names(names: list[str | None], prefix: str = "C") -> list[str]:
@@ -48,6 +48,9 @@ class Order(NamedTuple):
     down: bool = False
     last: bool = False  # NA
 
+    def reversed(self) -> Order:
+        return Order(self.column, not self.down, not self.last)
+
     def sorted(self) -> Column:
         c = self.column
         if self.down:
@@ -296,6 +299,8 @@ class _Query:
     def __init__(self, frame: Frame, item: tuple):
         self.frame, self.df = frame, frame.df
         self.i, self.j = item[0], item[1] if len(item) > 1 else slice(None)
+        if type(self.i).__module__.partition(".")[0] in ("numpy", "pandas"):
+            self.i = self.i.values.ravel().tolist() if hasattr(self.i, "values") else self.i.ravel().tolist()
         self.by = self.sort = None
         self.joins: list[join] = []
         for x in item[2:]:
@@ -384,6 +389,28 @@ class _Query:
             self.order = [Order(F.col("__rid"))]
         return self.order
 
+    def _place(self) -> None:
+        """For what depends on the order of rows: a whole frame's rows get positions and blocks."""
+        self._need_order()
+        if not self.keys:
+            self.df = in_blocks(with_positions(self.df, _sorted(self.order)))
+            self.order = [Order(F.col("__pos"))]
+
+    def _attached(self, context: Context) -> DataFrame:
+        """The rows with all that the context's expressions need from beyond them."""
+        df = self.df
+        if context.shared:
+            df = df.crossJoin(F.broadcast(df.agg(*(c.alias(f"__shared{n}") for n, c in enumerate(context.shared)))))  # one row
+        if context.edges:
+            df = edged(df, context.edges)
+        if context.carries:
+            df = carried(df, context.carries)
+        if context.ranks:
+            df = ranked(df, context.ranks)
+        if getattr(context, "number_groups", False):
+            df = self._numbered(df, self.keys)
+        return df
+
     def _mask(self) -> Column | None:
         """The condition on rows, if i is one."""
         if isinstance(self.i, Expr):
@@ -414,38 +441,73 @@ class _Query:
             order = self._need_order()
             self.df, backwards = in_groups(self.df, [k for _, k, _ in self.keys], _sorted(order), i)
             if backwards:
-                self.order = [Order(o.column, not o.down, o.last) for o in order]
+                self.order = [o.reversed() for o in order]
             return
         if isinstance(i, slice) and i.step in (None, 1) and not i.start and i.stop is not None and i.stop >= 0:
             self.df = (self.df.orderBy(*_sorted(self.order)) if self.order else self.df).limit(i.stop)
             return
-        placed = with_positions(self.df, _sorted(self.order))
+        if isinstance(i, (int, slice)) and (near := self._near(i)):
+            self.df, self.order = near
+            return
+        placed, n = placed_rows(self.df, _sorted(self.order))
         if isinstance(i, int):
-            n = placed.count()
             if not -n <= i < n:
                 raise ValueError(f"row {i} of {n}")
             self.df, self.order = placed.where(F.col("__pos") == i % n), []
         elif isinstance(i, slice):
-            n = F.lit(placed.count()) if any(x is not None and x < 0 for x in (i.start, i.stop, i.step)) else F.lit(0)
-            mask, backwards = slice_mask(F.col("__pos"), n, i)
+            mask, backwards = slice_mask(F.col("__pos"), F.lit(n), i)
             self.df = placed.where(mask)
             self.order = [Order(F.col("__pos"), backwards)]
         elif isinstance(i, Frame) and i.types == [t.BOOL]:
-            other = with_positions(i.df.select(_col(i.names[0]).alias("__keep")), _sorted(i.order))
+            other, m = placed_rows(i.df.select(_col(i.names[0]).alias("__keep")), _sorted(i.order))
+            if m != n:
+                raise ValueError(f"{m} truth values for {n} rows")
             self.df = placed.join(other, "__pos").where("__keep").drop("__keep")
             self.order = [Order(F.col("__pos"))]
         else:
             if isinstance(i, Frame):
                 wanted = with_positions(i.df.select(_col(i.names[0]).cast("bigint").alias("__row")), _sorted(i.order), "__at")
+                wanted = wanted.withColumn("__row", F.when(F.col("__row") < 0, F.col("__row") + n).otherwise(F.col("__row")))
             else:
-                flat = [y for x in i for y in (range(*x.indices(placed.count())) if isinstance(x, slice) else x if isinstance(x, range) else [x])]
-                if flat and all(isinstance(x, bool) for x in flat):
-                    flat = [k for k, x in enumerate(flat) if x]
-                n = placed.count() if any(x < 0 for x in flat) else 0
-                wanted = self.df.sparkSession.createDataFrame([(k, x % n if x < 0 else x) for k, x in enumerate(flat)], "__at bigint, __row bigint")
+                wanted = self.df.sparkSession.createDataFrame(list(enumerate(self._listed(n))), "__at bigint, __row bigint")
             self.df = wanted.join(placed, F.col("__row") == F.col("__pos"))
             self.order = [Order(F.col("__at"))]
 
+    def _near(self, i: int | slice, most: int = 100_000) -> tuple[DataFrame, list[Order]] | None:
+        """Rows close to the beginning, or to the end of an ordered frame: only those are sorted out and placed."""
+        if isinstance(i, int):
+            low, high, back = i, i + 1, False
+            if i < 0:
+                low, high, back = -i - 1, -i, True
+        elif i.step in (None, 1) and (i.start or 0) >= 0 and i.stop is not None and i.stop >= 0:
+            low, high, back = i.start or 0, i.stop, False
+        elif i.step in (None, 1) and i.stop is None and i.start is not None and i.start < 0:
+            low, high, back = 0, -i.start, True
+        else:
+            return None
+        if high > most or back and not self.order:
+            return None
+        order = [o.reversed() for o in self.order] if back else self.order
+        some, n = placed_rows((self.df.orderBy(*_sorted(order)) if order else self.df).limit(high), _sorted(order))
+        if isinstance(i, int) and n < high:
+            raise ValueError(f"row {i} of {n}")
+        return some.where(F.col("__pos") >= low), [Order(F.col("__pos"), back)]
+
+    def _listed(self, n: int) -> list[int]:
+        """A list of row numbers, slices, ranges or truth values as row numbers from 0."""
+        i = self.i.tolist() if hasattr(self.i, "tolist") else list(self.i)
+        if i and all(isinstance(x, bool) for x in i):
+            if len(i) != n:
+                raise ValueError(f"{len(i)} truth values for {n} rows")
+            return [k for k, x in enumerate(i) if x]
+        flat = [y for x in i for y in (range(*x.indices(n)) if isinstance(x, slice) else x if isinstance(x, range) else [x])]
+        for x in flat:
+            if isinstance(x, bool) or not isinstance(x, int):
+                raise TypeError(f"no row number: {x!r}")
+            if not -n <= x < n:
+                raise ValueError(f"row {x} of {n}")
+        return [x % n for x in flat]
+
     # ---- columns ----
 
     def _expression(self) -> Expr:
@@ -478,8 +540,7 @@ class _Query:
         self._rows()
         parts, context = self._select()
         if context.ordered:
-            self._need_order()
-            context.order = _sorted(self.order)
+            self._place()
             parts, context = self._select()
         reduced = any(p.mode == ONE for p in parts) and not context.spread
         keys = [(n, k, d) for n, k, d in self.keys]
@@ -498,12 +559,7 @@ class _Query:
             return Frame(self.df.agg(*(c.alias(n) for c, n in zip(columns, names, strict=True))))
         if parts and all(p.mode == SCALAR for p in parts) and self._everything() and not self.keys:
             return Frame(self.df.sparkSession.range(1).select(*(c.alias(n) for c, n in zip(columns, names, strict=True))))
-        df = self.df
-        if context.shared:
-            one = df.agg(*(c.alias(f"__shared{n}") for n, c in enumerate(context.shared)))
-            df = df.crossJoin(F.broadcast(one))  # one row
-        if getattr(context, "number_groups", False):
-            df = self._numbered(df, keys)
+        df = self._attached(context)
         hidden = [k.alias(f"__o{n}") for n, (_, k, _) in enumerate(keys)]
         order = [Order(F.col(f"__o{n}"), d) for n, (_, _, d) in enumerate(keys)]
         for n, o in enumerate(self.order, len(hidden)):
@@ -554,18 +610,14 @@ class _Query:
             context = self._context(spread=True)
             parts = e.resolve(context)
             if context.ordered:
-                self._need_order()
+                self._place()
                 context = self._context(spread=True)
                 parts = e.resolve(context)
         if len(parts) == 1:
             parts = parts * len(targets)
         if len(parts) != len(targets):
             raise ValueError(f"{len(parts)} columns for {len(targets)}")
-        df = self.df
-        if context.shared:
-            df = df.crossJoin(F.broadcast(df.agg(*(c.alias(f"__shared{n}") for n, c in enumerate(context.shared)))))  # one row
-        if getattr(context, "number_groups", False):
-            df = self._numbered(df, self.keys)
+        df = self._attached(context)
         new = {}
         for n, p in zip(targets, parts, strict=True):
             if mask is None:
@@ -585,14 +637,16 @@ class _Query:
         mask = self._mask()
         if mask is not None:
             return F.coalesce(mask, F.lit(False))
-        placed = with_positions(self.df, _sorted(self.frame.order))
-        n = F.lit(placed.count())
-        self.df = placed
+        self.df, n = placed_rows(self.df, _sorted(self.frame.order))
         if isinstance(self.i, int):
-            return F.col("__pos") == (n + self.i if self.i < 0 else F.lit(self.i))
+            if not -n <= self.i < n:
+                raise ValueError(f"row {self.i} of {n}")
+            return F.col("__pos") == self.i % n
         if isinstance(self.i, slice):
-            return slice_mask(F.col("__pos"), n, self.i)[0]
-        return F.col("__pos").isin(list(self.i))
+            return slice_mask(F.col("__pos"), F.lit(n), self.i)[0]
+        wanted = self.df.sparkSession.createDataFrame([(x,) for x in sorted(set(self._listed(n)))], "__row bigint").withColumn("__chosen", F.lit(True))
+        self.df = self.df.join(wanted, F.col("__row") == F.col("__pos"), "left").drop("__row")
+        return F.coalesce("__chosen", F.lit(False))
 
     def delete(self) -> None:
         whole = isinstance(self.j, slice) and self.j == slice(None) or self.j is None or self.j is Ellipsis

@@ -32,8 +32,8 @@ def as_type(e, to) -> Expr:
 
 def categories(frame, name: str | None = None):
     """A frame of the sorted distinct values of a column."""
-    from tessera.frame import Frame
+    from tessera.frame import Frame, Order
 
     name = name or frame.names[0]
     values = frame.df.select(F.col(f"`{name}`").alias(name)).where(F.col(f"`{name}`").isNotNull()).distinct()
-    return Frame(values, order=[F.col(f"`{name}`").asc_nulls_first()])
+    return Frame(values, order=[Order(F.col(f"`{name}`"))])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import builtins
+
 from pyspark.sql import functions as F
 
 from tessera import types as t
@@ -57,9 +59,12 @@ def match(e, pattern: str, icase: bool = False) -> Expr:
     return unary(e, "match", make)
 
 
-def split_into_nhot(frame, sep: str = ",", sort: bool = False):
-    """A frame of truth values, one column for each token of the strings. The tokens are collected: one name each."""
-    from tessera.frame import Frame
+def split_into_nhot(frame, sep: str = ",", sort: bool = False, most: int = 10_000):
+    """A frame of truth values, one column for each token of the strings: sorted, or in the order in which they first appear.
+
+    More than ``most`` different tokens are an error: each is the name of a column, which the driver holds.
+    """
+    from tessera.frame import Frame, Order
 
     (name, kind), *more = [(x.name, x.dataType) for x in frame.df.schema if not x.name.startswith("__")]
     if more:
@@ -67,7 +72,13 @@ def split_into_nhot(frame, sep: str = ",", sort: bool = False):
     _text(kind)
     x = F.regexp_replace(F.trim(F.col(f"`{name}`")), r"^[\[({]|[\])}]$", "")
     tokens = F.filter(F.transform(F.split(x, f"[{sep}]"), lambda s: F.regexp_replace(F.trim(s), "^['\"]|['\"]$", "")), lambda s: s != "")
-    df = frame.df.select("*", tokens.alias("__tokens"))
-    rows = df.select(F.explode("__tokens").alias("k")).groupBy("k").agg(F.lit(1)).select("k")
-    names = sorted(r["k"] for r in rows.collect())
-    return Frame(df.select(*(c for c in frame.df.columns if c.startswith("__")), *(F.array_contains("__tokens", n).alias(n) for n in names)))
+    df = frame.df if frame.order else frame.df.withColumn("__rid", F.monotonically_increasing_id())
+    order = frame.order or [Order(F.col("__rid"))]
+    df = df.select("*", tokens.alias("__tokens"))
+    found = df.select(F.posexplode("__tokens").alias("at", "token"), F.struct(*(o.column for o in order)).alias("row"))
+    firsts = found.groupBy("token").agg(F.min(F.struct("row", "at")).alias("first")).orderBy(*(["token"] if sort else ["first"])).select("token").limit(most + 1)
+    names = [r["token"] for r in firsts.collect()]
+    if builtins.len(names) > most:
+        raise ValueError(f"more than {most} different tokens")
+    hidden = [c for c in df.columns if c.startswith("__") and c != "__tokens"]
+    return Frame(df.select(*hidden, *(o.column.alias(f"__n{k}") for k, o in enumerate(order)), *(F.array_contains("__tokens", n).alias(n) for n in names)), order=[Order(F.col(f"__n{k}"), o.down, o.last) for k, o in enumerate(order)])

@@ -26,16 +26,14 @@ def shift(e, n: int = 1) -> Expr:
         from tessera.expr import f
 
         return e[:, shift(f[:], n)]
-    return _over(e, "shift", lambda x, k, c: ((F.lag(x, n) if n >= 0 else F.lead(x, -n)).over(c.window()), k))
+    return _over(e, "shift", lambda x, k, c: (c.shifted(x, n), k))
 
 
-def _running(name, function, kind, empty=None):
+def _running(name, function, kind, merge, empty=None):
     def made(e, reverse: bool = False) -> Expr:
         def make(x, k, c):
             to = kind(k)
-            w = c.window()
-            w = w.rowsBetween(0, Window.unboundedFollowing) if reverse else w.rowsBetween(Window.unboundedPreceding, 0)
-            y = function(x.cast("double" if t.is_float(to) else "bigint") if empty is not None else x).over(w)
+            y = c.running(function, function, merge, x.cast("double" if t.is_float(to) else "bigint") if empty is not None else x, reverse)
             return (F.coalesce(y, F.lit(empty)) if empty is not None else y).cast(to.simpleString()), to
 
         return _over(e, name, make)
@@ -56,9 +54,9 @@ def _ordered(k):
     return k
 
 
-cumsum = _running("cumsum", F.sum, _sums, 0)
-cumprod = _running("cumprod", F.product, _sums, 1)
-cummin, cummax = _running("cummin", F.min, _ordered), _running("cummax", F.max, _ordered)
+cumsum = _running("cumsum", F.sum, _sums, lambda a, b: a + b, 0)
+cumprod = _running("cumprod", F.product, _sums, lambda a, b: a * b, 1)
+cummin, cummax = _running("cummin", F.min, _ordered, F.least), _running("cummax", F.max, _ordered, F.greatest)
 
 
 def cumcount(reverse: bool = False) -> Expr:
@@ -66,6 +64,13 @@ def cumcount(reverse: bool = False) -> Expr:
 
     def resolve(c):
         w = c.window()
+        if not c.keys:
+            if not reverse:
+                return [Part(None, F.col("__pos"), t.INT64)]
+            saved, c.spread = c.spread, True
+            rows = c.reduce(F.count(F.lit(1)))[0]
+            c.spread = saved
+            return [Part(None, rows - F.col("__pos") - 1, t.INT64)]
         n = F.count(F.lit(1)).over(w.rowsBetween(0, Window.unboundedFollowing)) if reverse else F.row_number().over(w)
         return [Part(None, n.cast("bigint") - 1, t.INT64)]
 
@@ -98,10 +103,9 @@ def fillna(e, value=None, reverse: bool = False) -> Expr:
         return mapped([e, value], make, "fillna")
 
     def make(x, k, c):
-        w = c.window()
-        if reverse:
-            return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), k
-        return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), k
+        end, by_place = (F.first, F.min_by) if reverse else (F.last, F.max_by)
+        known = lambda y: end(y, ignorenulls=True)
+        return c.running(known, known, lambda y, carry: y, x, reverse, lambda y: by_place(y, F.when(y.isNotNull(), F.col("__pos")))), k
 
     return _over(e, "fillna", make)
 
@@ -158,12 +162,15 @@ def qcut(e, nquantiles=10) -> Expr:
         for p, q in zip(parts, counts, strict=True):
             if q < 1:
                 raise ValueError("nquantiles is 1 at least")
-            x, keys = p.column, c.keys or [F.lit(0)]
-            rank = F.dense_rank().over(Window.partitionBy(*keys, x.isNull()).orderBy(x)) - 1
-            n = F.max(F.when(x.isNotNull(), F.lit(1))).over(Window.partitionBy(*keys))
-            top = F.dense_rank().over(Window.partitionBy(*keys, x.isNull()).orderBy(x.desc())) + rank  # distinct values
+            x = p.column
+            if c.keys:
+                w = Window.partitionBy(*c.keys, x.isNull())
+                rank = F.dense_rank().over(w.orderBy(x)) - 1
+                top = F.dense_rank().over(w.orderBy(x.desc())) + rank  # distinct values
+            else:
+                rank, top = c.rank(x)
             a = q * (1 - EPSILON) / F.when(top > 1, top - 1)
-            y = F.when(x.isNotNull() & n.isNotNull(), F.when(top <= 1, (q - 1) // 2).otherwise((a * rank).cast("int")))
+            y = F.when(x.isNotNull(), F.when(top <= 1, (q - 1) // 2).otherwise((a * rank).cast("int")))
             out.append(Part(p.name, y.cast("int"), t.INT32))
         return out
 
@@ -173,7 +180,4 @@ def qcut(e, nquantiles=10) -> Expr:
 def codes(e) -> Expr:
     """The number of a value among the sorted distinct ones."""
 
-    def make(x, k, c):
-        return (F.dense_rank().over(Window.partitionBy(x.isNull()).orderBy(x)) - 1).cast("int") + F.lit(0), t.INT32
-
-    return _over(e, "codes", lambda x, k, c: (F.when(x.isNotNull(), make(x, k, c)[0]), t.INT32))
+    return _over(e, "codes", lambda x, k, c: (c.rank(x)[0].cast("int"), t.INT32))

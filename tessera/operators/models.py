@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import types as t
-from tessera.plans.rows import with_positions
+from tessera.plans.rows import placed_rows, with_positions
 
 
 def _order(frame):
@@ -26,8 +26,7 @@ def kfold(frame, nsplits: int):
 
     if nsplits < 2:
         raise ValueError("there are at least 2 splits")
-    n = frame.nrows
-    placed = with_positions(frame.df, _order(frame))
+    placed, n = placed_rows(frame.df, _order(frame))
     # the fold i of row p is the least with p < (i + 1) * n // k
     fold = F.floor(((F.col("__pos") + 1) * nsplits - 1) / n)
     return Frame(placed.withColumn("fold", fold.cast("int")).drop("__pos"), order=None)

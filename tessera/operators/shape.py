@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import functions as F
 
 from tessera import types as t
-from tessera.plans.rows import with_positions
+from tessera.plans.rows import placed_rows, with_positions
 
 
 def _values(frames) -> tuple[list, str]:
@@ -97,21 +98,22 @@ def cbind(*frames, force: bool = False):
     """Columns of all frames side by side; frames of one row are repeated, others have equally many (or NA, with ``force``)."""
     from tessera.frame import Frame, Order, unique_names
 
-    counts = [x.nrows for x in frames]
+    placed = [placed_rows(x.df, [y.sorted() for y in x.order or ()]) for x in frames]
+    counts = [n for _, n in placed]
     most = max(counts)
     if not force and any(n not in (1, most) for n in counts):
         raise ValueError(f"frames have different numbers of rows: {sorted(set(counts))}")
     names = unique_names([n for x in frames for n in x.names])
-    out, at = None, 0
-    for x, n in sorted(zip(frames, counts, strict=True), key=lambda y: y[1] == 1 and most > 1):
-        first = sum(y.ncols for y in frames[: next(k for k, z in enumerate(frames) if z is x)])
-        columns = [F.col(f"`{c}`").alias(f"__b{first + k}") for k, c in enumerate(x.names)]
-        if n == 1 and most > 1:
-            out = out.crossJoin(F.broadcast(x.df.select(*columns)))  # one row
+    starts = list(accumulate((x.ncols for x in frames), initial=0))
+    out = None
+    for k in sorted(range(len(frames)), key=lambda k: counts[k] == 1 and most > 1):
+        columns = [F.col(f"`{c}`").alias(f"__b{starts[k] + m}") for m, c in enumerate(frames[k].names)]
+        rows = placed[k][0]
+        if counts[k] == 1 and most > 1:
+            out = out.crossJoin(F.broadcast(rows.select(*columns)))  # one row
         else:
-            part = with_positions(x.df, [y.sorted() for y in x.order or ()]).select("__pos", *columns)
+            part = rows.select("__pos", *columns)
             out = part if out is None else out.join(part, "__pos", "full" if force else "inner")
-        at += 1
     return Frame(out.select(*(F.col(f"__b{k}").alias(n) for k, n in enumerate(names)), "__pos"), order=[Order(F.col("__pos"))])
 
 

@@ -359,6 +359,16 @@ def row_list(table):
     return table("customer").sort("c_custkey")[[3, 5, 7], "c_custkey"]
 
 
+@query("SELECT l_orderkey, l_extendedprice FROM (SELECT l_orderkey, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate) - 1 AS r FROM lineitem) WHERE r >= 5 AND (r - 5) % 7 = 0")
+def row_slice_step(table):
+    return table("lineitem").sort("l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")[5::7, ["l_orderkey", "l_extendedprice"]]
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS back FROM orders) WHERE back IN (1, 4, 1000) UNION ALL SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) AS back FROM orders) WHERE back BETWEEN 11 AND 20")
+def row_negative(table):
+    return table("orders").sort("o_totalprice", "o_orderkey")[[-1, -4, -1000, slice(-20, -10)], "o_orderkey"]
+
+
 # ---- sort ----
 
 
@@ -518,6 +528,12 @@ def cbind_aligned(table):
     return named(shape.cbind(nation[:, "n_nationkey", sort("n_nationkey")], nation[:, "n_name", sort(-f.n_nationkey)]), "n_nationkey", "other")
 
 
+@query("SELECT o_orderkey, other FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) JOIN (SELECT o_orderkey AS other, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders) USING (r)")
+def cbind_large(table):
+    orders = table("orders")
+    return named(shape.cbind(orders[:, "o_orderkey", sort("o_orderkey")], orders[:, "o_orderkey", sort("o_totalprice", "o_orderkey")]), "o_orderkey", "other")
+
+
 @query("SELECT r_name FROM region, range(3)")
 def repeat_frame(table):
     return shape.repeat(table("region")[:, "r_name"], 3)
@@ -628,6 +644,11 @@ def kfold_sizes(table):
     return models.kfold(table("customer").sort("c_custkey"), 4)[:, {"n": fn.count()}, by("fold")]
 
 
+@query("SELECT o_orderkey, CAST(((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) * 5 + 4) // (SELECT count(*) FROM orders) AS INTEGER) AS fold FROM orders")
+def kfold_members(table):
+    return models.kfold(table("orders").sort("o_totalprice", "o_orderkey"), 5)[:, ["o_orderkey", "fold"]]
+
+
 @query("SELECT CAST(range AS INTEGER) AS fold, (range + 1) * c // 4 - range * c // 4 AS n FROM range(4), (SELECT count(*) AS c FROM customer)")
 def kfold_random_sizes(table):
     return models.kfold_random(table("customer").sort("c_custkey"), 4, seed=7)[:, {"n": fn.count()}, by("fold")]
