@@ -1,43 +1,5 @@
-"""Tables cut out of a job's lineage, kept where every executor can read them."""
+"""Tables cut out of a job's lineage: see :mod:`tessera.plans.tables`."""
 
-from __future__ import annotations
+from tessera.plans.tables import cut, discard, new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (local runs only), a fresh one that is then set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not known.isDefined() and not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lost executors cost nothing done before."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that no later plan reads."""
-    for table in tables:
-        spark = table.sparkSession
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["cut", "discard", "new_path", "shared_dir"]
