@@ -35,6 +35,9 @@ def fread(source=None, *, file=None, text=None, cmd=None, url=None, columns=None
     Types are inferred over all rows; ``columns`` renames, drops or retypes: a list of names (None
     drops), a set of names to keep, or a dict of names to types, names or None. A first line none
     of whose fields looks like a value is a header. ``na_strings`` are NA, as an empty field is.
+    Line ends within quotes belong to their field. A line of more fields than the first is an error
+    unless ``fill`` is set; one of fewer is filled with NA. Texts, commands, URLs and archives are
+    read by the driver, files and folders by the tasks.
     """
     import glob
     import os
@@ -64,23 +67,33 @@ def fread(source=None, *, file=None, text=None, cmd=None, url=None, columns=None
             text = r.read().decode(encoding or "utf-8-sig")
     if file is not None and (file.endswith((".parquet", ".jay")) or glob.glob(f"{file}/*.parquet")):
         return load(file)
-    if file is not None and file.endswith((".zip", ".tar", ".tgz", ".tar.gz", ".xz")):
-        text = next(iter(_archive(file, encoding)))
+    if file is not None and (archive := re.match(r"(.+?\.(?:zip|tar|tgz|tar\.gz|xz))(?:/(.+))?$", file)):
+        members = list(_archive(archive[1], encoding, archive[2]))
+        if len(members) != 1:
+            raise ValueError(f"{file} has {len(members)} such members: name one, as in archive.zip/name, or use iread")
+        text = members[0]
+    if file is not None and file.endswith(".feather"):
+        raise ValueError("feather files are not read: use Parquet")
     if text is not None:
         if re.match(r"\s*<(!doctype|html)", text, re.I):
             raise OSError("HTML is no table")
-        all_lines = text.removeprefix("\ufeff").splitlines()
-        rows = spark.createDataFrame([(k, x) for k, x in enumerate(all_lines)], "__rid bigint, value string")
+        rows = spark.createDataFrame(list(enumerate(_records([text.removeprefix("\ufeff")], quotechar))), "__rid bigint, value string")
     else:
-        rows = spark.read.option("encoding", encoding or "UTF-8").text(file).select(F.monotonically_increasing_id().alias("__rid"), "value")
-    first_lines = rows.orderBy("__rid").limit(1000 + (skip_to_line or 0)).collect() if text is not None else rows.limit(1000 + (skip_to_line or 0)).collect()
-    begin = max((skip_to_line or 1) - 1, 0)
+        rows = _file_records(spark, file, encoding or "UTF-8", quotechar)
+    # Where the table begins: one aggregation over all records, not over a first part of them.
+    begin = None
+    if skip_to_line and skip_to_line > 1:
+        before = rows.orderBy("__rid").limit(skip_to_line - 1).agg(F.max("__rid"), F.count("*")).first()
+        rows = rows.where(F.col("__rid") > before[0]) if before[1] == skip_to_line - 1 else rows.where("false")
     if skip_to_string:
-        begin = next((k for k, r in enumerate(first_lines) if skip_to_string in r["value"]), begin)
+        begin = rows.where(F.contains("value", F.lit(skip_to_string))).agg(F.min("__rid")).first()[0]
+        if begin is None:
+            raise ValueError(f"no line holds {skip_to_string!r}")
+        rows = rows.where(F.col("__rid") >= begin)
     if skip_blank_lines:
-        while begin < len(first_lines) and not first_lines[begin]["value"].strip():
-            begin += 1
-    sample = [r["value"] for r in first_lines[begin : begin + 100]]
+        rows = rows.where(F.trim(F.regexp_replace("value", r"[\r\t]", " ")) != "")
+    first_lines = rows.orderBy("__rid").limit(101).collect()
+    sample = [r["value"] for r in first_lines[:100]]
     if not sample:
         return Frame(spark.createDataFrame([], "C0 void"))
     sep = sep or _guess(sample, quotechar)
@@ -89,15 +102,18 @@ def fread(source=None, *, file=None, text=None, cmd=None, url=None, columns=None
     fields = next(csv.reader([sample[0].strip("\r")], delimiter=sep, quotechar=quotechar))
     if header is None:
         header = not any(_value_like(x) and x.strip() for x in fields) and any(x.strip() for x in fields)
-    width = max(len(x) for x in csv.reader(sample, delimiter=sep, quotechar=quotechar)) if fill else len(fields)
-    names = unique_names([x.strip() for x in fields] + [None] * (width - len(fields)) if header else [None] * width)
-    start = first_lines[begin + bool(header)]["__rid"] if begin + bool(header) < len(first_lines) else None
-    body = rows.where(F.col("__rid") >= start) if start is not None else rows.where("false")
-    if skip_blank_lines:
-        body = body.where(F.trim("value") != "")
+    body = rows.where(F.col("__rid") > first_lines[0]["__rid"]) if header else rows
     if max_nrows is not None:
         body = body.orderBy("__rid").limit(max_nrows)
-    parse = F.from_csv("value", ", ".join(f"`c{k}` string" for k in range(width)), {"sep": sep, "quote": quotechar, "escape": quotechar, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": str(strip_whitespace).lower(), "ignoreTrailingWhiteSpace": str(strip_whitespace).lower()})
+    # The widest record of all: what is quoted has no separators.
+    q = re.escape(quotechar)
+    bare = F.regexp_replace(F.trim("value") if sep != "\t" else F.col("value"), f"{q}[^{q}]*{q}", "") if quotechar else F.col("value")
+    most = body.agg(F.max(F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep), F.lit(""))))).first()[0]
+    width = len(fields) if most is None else max(len(fields), most // len(sep) + 1)
+    if width > len(fields) and not fill:
+        raise ValueError(f"a line has {width} fields where {len(fields)} are expected; fill=True makes room for them")
+    names = unique_names([x.strip() for x in fields] + [None] * (width - len(fields)) if header else [None] * width)
+    parse = F.from_csv("value", ", ".join(f"`c{k}` string" for k in range(width)), {"sep": sep, "quote": quotechar, "escape": quotechar, "multiLine": "true", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": str(strip_whitespace).lower(), "ignoreTrailingWhiteSpace": str(strip_whitespace).lower()})
     df = body.select("__rid", parse.alias("p")).select("__rid", *(F.col(f"p.c{k}").alias(n) for k, n in enumerate(names)))
     missing = [*(na_strings or ["NA"]), ""]
     df = df.select("__rid", *(F.when(~F.col(f"`{n}`").isin(missing), F.col(f"`{n}`")).alias(n) for n in names))
@@ -119,6 +135,45 @@ def fread(source=None, *, file=None, text=None, cmd=None, url=None, columns=None
     return Frame(out, order=[Order(F.col("__rid"))])
 
 
+def _records(parts, quote: str) -> Iterator[str]:
+    """The lines of a text given in parts; a line end within quotes does not end a record."""
+    held = ""
+    open_quote = False
+    for part in parts:
+        for line in re.split(r"\r\n|\n|\r", part):
+            held = f"{held}\n{line}" if open_quote else line
+            open_quote ^= bool(quote) and line.count(quote) % 2 == 1
+            if not open_quote:
+                yield held
+    if open_quote:
+        yield held
+
+
+def _file_records(spark: SparkSession, file: str, encoding: str, quote: str) -> DataFrame:
+    """``(__rid, value)`` of a text file's records.
+
+    Files of other encodings than UTF-8, and those of which a line leaves a quote open, are divided by one task each.
+    """
+    lines, q = spark.read.text(file), F.lit(quote)
+    other = encoding.lower().replace("_", "-") not in ("utf-8", "utf8", "utf-8-sig", "ascii")
+    if other or quote and lines.where((F.char_length("value") - F.char_length(F.replace("value", q, F.lit("")))) % 2 == 1).limit(1).count():
+        import bz2
+        import gzip
+
+        import pandas as pd
+
+        code = encoding if other else "utf-8-sig"
+
+        def records(batches):
+            for batch in batches:
+                for path, content in zip(batch["path"], batch["content"], strict=True):
+                    content = gzip.decompress(content) if path.endswith(".gz") else bz2.decompress(content) if path.endswith(".bz2") else content
+                    yield pd.DataFrame({"value": list(_records([content.decode(code).removesuffix("\n")], quote))})
+
+        lines = spark.read.format("binaryFile").load(file).select("path", "content").mapInPandas(records, "value string")
+    return lines.select(F.monotonically_increasing_id().alias("__rid"), F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\r$", "").alias("value"))
+
+
 def _plain(x, dec: str):
     x = F.trim(x)
     return F.regexp_replace(x, ",", ".") if dec == "," else x
@@ -157,15 +212,18 @@ def _infer(df: DataFrame, names: list[str], dec: str) -> dict:
     return out
 
 
-def _archive(path: str, encoding=None) -> Iterator[str]:
+def _archive(path: str, encoding=None, member: str | None = None) -> Iterator[str]:
+    """The texts of an archive's files, or of those that a name or pattern says."""
     import lzma
     import tarfile
     import zipfile
+    from fnmatch import fnmatch
 
+    wanted = lambda n: member is None or n == member or fnmatch(n, member) or n.startswith(f"{member}/")
     if path.endswith(".zip"):
         with zipfile.ZipFile(path) as z:
             for n in z.namelist():
-                if not n.endswith("/"):
+                if not n.endswith("/") and wanted(n):
                     yield z.read(n).decode(encoding or "utf-8-sig")
     elif path.endswith(".xz"):
         with lzma.open(path) as x:
@@ -173,7 +231,7 @@ def _archive(path: str, encoding=None) -> Iterator[str]:
     else:
         with tarfile.open(path) as tar:
             for m in tar:
-                if m.isfile():
+                if m.isfile() and wanted(m.name):
                     yield tar.extractfile(m).read().decode(encoding or "utf-8-sig")
 
 
@@ -216,7 +274,9 @@ def to_csv(frame, path: str = "", sep: str = ",", quoting: str = "minimal", appe
         for r in df.toLocalIterator():
             writer.writerow(["" if x is None else x for x in r])
         return "\ufeff" * bom + out.getvalue()
-    df.write.mode("append" if append else "overwrite").options(sep=sep, header=header, quoteAll=quoting == "all", compression=compression or "none").csv(path)
+    if bom or quoting in ("nonnumeric", "none"):
+        raise ValueError("bom, and quoting nonnumeric or none, are for texts, not for folders")
+    df.write.mode("append" if append else "overwrite").options(sep=sep, header=header, quoteAll=quoting == "all", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression=compression or "none").csv(path)
     return None
 
 
