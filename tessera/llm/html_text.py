@@ -34,7 +34,8 @@ WHOLE = frozenset("html body main article".split())
 #: Scores: a word in an element of no labelled page, and a tag that never lies inside the main region.
 UNKNOWN_WORD, OUTSIDE_TAG = 0.5, -40.0
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+# A tag that is not closed ends where the next one begins: no start is tried over the rest of the page.
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|(?=<)|\Z)", re.S | re.I)
 _attributes = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _undisplayed = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 #: The mark of what is not shown, in place of a class.

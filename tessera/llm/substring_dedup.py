@@ -91,8 +91,26 @@ def _seeds(window: int, gram: int):
 
 
 def _rows(out: list) -> pd.DataFrame:
+    """Rows (anchor, whole, id, late), once for each; late: these rows hold it with a smaller id too, which settles it here."""
     ids, anchor, whole = zip(*out, strict=True)
-    return pd.DataFrame({"anchor": np.concatenate(anchor).view(np.int64), "whole": np.concatenate(whole).view(np.int64), "id": np.repeat(ids, list(map(len, whole)))})
+    anchor, whole, ids = np.concatenate(anchor).view(np.int64), np.concatenate(whole).view(np.int64), np.repeat(ids, list(map(len, whole)))
+    order = np.lexsort((ids, anchor, whole))
+    anchor, whole, ids = anchor[order], whole[order], ids[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (anchor[1:] != anchor[:-1])
+    first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    once = new.copy()
+    once[1:] |= ids[1:] != ids[:-1]
+    return pd.DataFrame({"anchor": anchor, "whole": whole, "id": ids, "late": ids > first})[once]
+
+
+SEEDS = "anchor bigint, whole bigint, id bigint, late boolean"
+
+
+def _together(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one task, but those that are settled, so that of a very common one a task gets a row from each batch at most."""
+    spread = F.when(F.col("late"), F.xxhash64("id", "whole")).otherwise(F.xxhash64(*keys))
+    return rows.withColumn("to", spread).repartition("to").drop("to").sortWithinPartitions("anchor", "whole", "id")
 
 
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,6 +122,10 @@ def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     old = None  # (anchor, whole, id of its first row) seen last
     open_row = None  # (whole, id, has an earlier extension) of the last extension, not yet settled
     for batch in batches:
+        late = batch["late"].to_numpy(bool)
+        if late.any():
+            yield batch.loc[late, ["id", "whole"]].assign(later=True)
+            batch = batch[~late]
         if not len(batch):
             continue
         anchor, whole, ids = (batch[c].to_numpy() for c in ("anchor", "whole", "id"))
@@ -213,14 +235,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
     whole = texts.where("id is not null and octet_length(text) >= %d" % (2 * window - 1))
 
-    seeds = whole.mapInPandas(_seeds(window, gram), "anchor bigint, whole bigint, id bigint")
-    met = seeds.repartition("anchor").sortWithinPartitions("anchor", "whole", "id").mapInPandas(_meet, "id bigint, whole bigint, later boolean")
+    seeds = whole.mapInPandas(_seeds(window, gram), SEEDS)
+    met = _together(seeds, "anchor").mapInPandas(_meet, "id bigint, whole bigint, later boolean")
     lists = met.groupBy("id").agg(F.collect_set(F.expr("case when later then whole end")).alias("wholes"), F.collect_set(F.expr("case when not later then whole end")).alias("check"))
     first = cut(lists, "met")
 
     todo = whole.join(first.where("size(check) > 0").select("id", "check").hint("shuffle_hash"), "id")
-    windows = todo.mapInPandas(_windows(window, gram), "anchor bigint, whole bigint, id bigint")
-    single = windows.repartition("anchor", "whole").sortWithinPartitions("anchor", "whole", "id").mapInPandas(_later, "id bigint, whole bigint")
+    windows = todo.mapInPandas(_windows(window, gram), SEEDS)
+    single = _together(windows, "anchor", "whole").mapInPandas(_later, "id bigint, whole bigint")
     second = single.groupBy("id").agg(F.collect_set("whole").alias("singles"))
     found = cut(first.where("size(wholes) > 0").select("id", "wholes").join(second, "id", "full").select("id", "wholes", "singles"), "repeats")
     discard(first)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 4096
 #: Candidates that are laid out at a time, and dimensions added at a time.
 CANDIDATES, DIMENSIONS = 4096, 16
+#: Scores beyond a long are taken as the nearest one.
+LEAST, MOST = -(2**63), 2**63 - 1
 #: Products of smaller totals are exact in doubles.
 EXACT = 2.0**53
 
@@ -77,7 +79,7 @@ def _searcher(queries: dict[int, list], k: int):
                             score = score.astype(np.int64).tolist()
                         else:  # totals that doubles can't hold: whole numbers of any size
                             found = ids[ids != own]
-                            score = [int(sum(int(a) * int(b) for a, b in zip(vectors[q], w, strict=True))) for w in whole[ids != own]]
+                            score = [min(max(sum(int(a) * int(b) for a, b in zip(vectors[q], w, strict=True)), LEAST), MOST) for w in whole[ids != own]]
                         if len(found):
                             top = sorted([*tops.get(key, ()), *zip(score, found.tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
                             tops[key] = top
@@ -97,7 +99,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     id, and a row of the query's own id is no candidate. Vectors that are null or hold a null or
     non-finite component, and rows of a null id, take no part; only vectors of as many dimensions
     are compared. Rows that repeat an id are candidates of their own; queries that repeat an id
-    are one query each by its first vector. With fewer candidates all are returned.
+    are one query each by its first vector. Components and scores that a long can't hold are taken as
+    the nearest that it can. With fewer candidates all are returned.
 
     Queries are taken in blocks of about ``QUERY_BLOCK``: each block, held by every task, passes
     over all candidates, and each task returns its ``k`` best for each query.

@@ -181,7 +181,7 @@ class Archives:
                     for k in range(blocks):
                         yield pd.DataFrame(file.block(k), columns=["key", "id", "archive", "at", "length"]).astype({"id": "Int64"})
 
-        return self.files.select("file", "blocks").repartition("file").mapInPandas(read, ENTRY)
+        return self.files.select("file", "blocks").repartition(_tasks(self.files.sparkSession), "file").mapInPandas(read, ENTRY)
 
     def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
         """``(key, id, archive, at, length)`` of all captures of the urls, one row for each.
@@ -237,10 +237,15 @@ class Archives:
                         rows.append((ids[0], json.loads(f'"{fields["WARC-Target-URI"]}"'), kind, ids[1], digest, payload if kind == "response" else None))
                     yield pd.DataFrame(rows, columns=["id", "url", "type", "refers_to", "digest", "payload"]).astype({"id": "Int64", "refers_to": "Int64"})
 
-        ordered = entries.select("archive", "at", "length").repartition("archive").sortWithinPartitions("archive", "at")
+        ordered = entries.select("archive", "at", "length").repartition(_tasks(entries.sparkSession), "archive").sortWithinPartitions("archive", "at")
         return ordered.mapInPandas(read, "id bigint, url string, type string, refers_to bigint, digest string, payload binary")
 
 
+def _tasks(spark) -> int:
+    """How many tasks read or write archives: said, as an index is too small for Spark to tell what lies behind it."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 0) -> Archives:
     """Archive a record per row of ``pages`` and index it by URL.
 
@@ -258,7 +263,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     known = rows.join(sized(copies, copies.count()), "sha", "left")
     refers_to = F.when(~F.col("id").eqNullSafe(F.col("kept")), F.col("kept"))
     entries = cut(known.select("id", "url", "html", refers_to.alias("refers_to")).mapInPandas(_writer(folder), ENTRY), "captures")
-    files = entries.repartitionByRange("key", "archive", "at").sortWithinPartitions("key", "archive", "at").mapInPandas(_indexer(folder), "file string, first string, blocks int")
+    files = entries.repartitionByRange(_tasks(spark), "key", "archive", "at").sortWithinPartitions("key", "archive", "at").mapInPandas(_indexer(folder), "file string, first string, blocks int")
     return Archives(folder, cut(files, "index"))
 
 

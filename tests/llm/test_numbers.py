@@ -59,6 +59,16 @@ def test_pack(docs):
     assert pack(docs([]), path).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e17, 0.0]), (1, [3e6, 3e6]), (2, [1.0, -2.0]), (3, [-1e17, 1.0])]
+    out = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), spark.createDataFrame(rows[:2], "vec_id bigint, embedding array<double>"), k=3).collect()
+    whole = {i: [max(-(2**63), min(2**63 - 1, int(x * 1024))) for x in v] for i, v in rows}
+    for q in (0, 1):
+        scores = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v, strict=True)))) for i, v in whole.items() if i != q}
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))
+        assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 def test_both_tokenizer_libraries_agree_on_all_tested_characters():
     from tessera.llm import packing
 

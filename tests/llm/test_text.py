@@ -239,3 +239,16 @@ def test_kernel_is_the_sum_over_common_subsequences():
         for y, v in enumerate(a):
             p, q = vector(w), vector(v)
             assert got[x, y] == pytest.approx(sum(p[k] * q.get(k, 0) for k in p), abs=1e-9)
+
+
+def test_unclosed_tags_take_linear_time():
+    from time import process_time
+
+    from tessera.llm.html_text import extract
+
+    for part in ("<a ", '<a "', "<!", "<script ", "<a href='", "<b x=<"):
+        began = process_time()
+        extract(part * 40_000, {})
+        assert process_time() - began < 20, part
+    page = '<body class="no-sidebar"><div class="page has-comments"><p title="a > b <i>">one two three four five six</p><p <b>seven eight nine ten eleven twelve</b></p></div></body>'
+    assert extract(page, {}).replace("\n", " ") == "one two three"
