@@ -28,8 +28,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model, learned from labelled ones, rejects go, each by its own text, whatever its id."""
     model = fit(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    scored = toxicity_scores(docs.withColumn("own_text", F.col("text")), model, keep=("own_text", *(c for c in COLUMNS if c not in ("doc_id", "text"))))
-    return scored.where("predicted = 0").withColumnRenamed("own_text", "text").select(*COLUMNS)
+    return toxicity_scores(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.scratch import cut, discard
+from tessera.llm.scratch import bound_batches, cut, discard
 from tessera.llm.words import STEP, WordHash, grams, mix
 
 #: Elements for which signatures are computed at once in a task.
@@ -244,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are all compared). An empty table gives no rows. Texts of any length are read whole. No other
     column is read, so clashing names do no harm.
     """
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
     signed = cut(texts.mapInPandas(_signer(n, bands, rows), "id bigint, n_shingles bigint, digest binary, bands array<bigint>"), "signed")
 

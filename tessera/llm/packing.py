@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from tessera.llm.scratch import cut
+from tessera.llm.scratch import bound_batches, cut
 
 #: The pattern by which byte-level tokenizers divide a text.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,6 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     repeat an id are documents of their own. An empty table gives no rows. No other column is read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     quick = agrees(tokenizer)
     stored = cut(texts.mapInPandas(_encoder(tokenizer, end_id, quick), "task int, begin bigint, id bigint, tokens bigint, ids binary"), "ids")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import cut, discard
+from tessera.llm.scratch import bound_batches, cut, discard
 from tessera.llm.words import STEP, WordHash, grams, mix
 
 _BASE = int(STEP)
@@ -232,6 +232,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document's: they remove nothing from each other. Columns in ``keep`` pass through; no other is read.
     """
     gram = gram or max(2, window // 3)
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("binary").alias("text"))
     whole = texts.where("id is not null and octet_length(text) >= %d" % (2 * window - 1))
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import bound_batches
+
 #: The sign that stands for a space.
 SPACE = "▁"
 #: Counts of pre-tokens that a worker holds before it starts anew: some 40 MB.
@@ -166,6 +168,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     Null and empty texts have 0 bytes and tokens; null and repeated ids are carried as they are.
     Texts are read whole; the longest allowed is what a string column holds. No shuffle.
     """
+    bound_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
     out = rows.mapInPandas(_counter(model), "id bigint, n_bytes bigint, n_tokens bigint")

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.scratch import cut, discard
+from tessera.llm.scratch import bound_batches, cut, discard
 
 DECAY = 0.7
 #: Offsets of the second and third letter; the span is the latter plus one.
@@ -359,7 +359,7 @@ def _held(name: str) -> dict[str, float]:
     return _worker[1]
 
 
-def _scorer(model: ToxicityModel, name: str):
+def _scorer(model: ToxicityModel, name: str, keep_text: bool = False):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = _held(name)
         for batch in batches:
@@ -375,7 +375,7 @@ def _scorer(model: ToxicityModel, name: str):
                     part = [max(v, model.sure) if v < model.sure and not model.known_pairs.isdisjoint(neighbours(t)) else v for v, t in zip(part, batch["text"].iloc[at : at + 500], strict=True)]
                 top += part
             value = np.array(top, float)
-            yield batch.drop(columns="text").assign(score=np.where(np.isfinite(value), model.score(np.where(np.isfinite(value), value, 0)), 0.0))
+            yield (batch if keep_text else batch.drop(columns="text")).assign(score=np.where(np.isfinite(value), model.score(np.where(np.isfinite(value), value, 0)), 0.0))
 
     return score
 
@@ -384,13 +384,14 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str =
     """``(id, *keep, score, predicted)``, one row per row of ``docs``; predicted is 1 from a score of 0.7.
 
     Null and empty texts and texts without letters score 0, as all do without a model (no toxic or
-    no clean row to learn from). Whole texts are read. Null and repeated ids are carried. Columns in ``keep``
-    pass through; no other is read. No shuffle.
+    no clean row to learn from). Whole texts are read. Null and repeated ids are carried. Columns in ``keep``,
+    which may be the text's own (as ``text``), pass through; no other is read. No shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in keep if c not in (id_col, "text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"), *(F.col(c) for c in keep if c not in (id_col, text_col, "text")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or text_col in keep)
     if model is None:
-        out = rows.drop("text").withColumn("score", F.lit(0.0))
+        out = (rows if text_col in keep else rows.drop("text")).withColumn("score", F.lit(0.0))
     else:
-        out = rows.mapInPandas(_scorer(model, uuid.uuid4().hex), f"{schema}, score double")
+        out = rows.mapInPandas(_scorer(model, uuid.uuid4().hex, text_col in keep), f"{schema}, score double")
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
