@@ -5,6 +5,7 @@ texts. A window of benchmark words can only occur where its two rarest terms sta
 distance: their lists are intersected after subtracting the terms' offsets in the item, so that
 agreeing entries name the same alignment of item and document. Only at the alignments that are
 left are the other terms' lists intersected; a window occurs where every offset of it agrees.
+Documents that hold an item's two rarest terms at about their distance are its proximity matches.
 """
 
 from __future__ import annotations
@@ -79,9 +80,12 @@ def _item_places(index: PositionalIndex, items: DataFrame, text_col: str) -> Dat
 
 
 def phrase_matches(index: PositionalIndex, places: DataFrame, length: int) -> DataFrame:
-    """``(row, doc, item, shift, start, size)``: the window from ``start`` of ``item`` occurs at ``shift + start``."""
+    """``(row, doc, item, shift, start, size)``: the words of ``item`` from ``start`` on, ``size`` of them, occur at ``shift + start``.
+
+    ``size`` is at least ``length``, or the whole of a shorter item; each stretch is as long as it can be.
+    """
     spans = item_windows(places, length)
-    inside = spans.join(places, "item").where("ipos >= start and ipos < start + size")
+    inside = spans.select("item", "start", "size", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("ipos")).join(places, ["item", "ipos"])
     whole = Window.partitionBy("item", "start")
     rare = inside.withColumn("df_min", F.min(F.coalesce("df", F.lit(0))).over(whole)).where("df_min > 0")
     ranked = rare.withColumn("rank", F.row_number().over(whole.orderBy("df", "ipos"))).where("rank <= 2")
@@ -89,39 +93,46 @@ def phrase_matches(index: PositionalIndex, places: DataFrame, length: int) -> Da
     n = windows.count()
 
     # The rarest terms' lists, less their offsets; alignments at which both terms of a window stand.
-    anchors = ranked.select("item", "ipos", "term").distinct()
+    anchors = windows.select("item", F.explode(F.array("first", "second")).alias("ipos")).distinct().join(places, ["item", "ipos"]).select("item", "ipos", "term")
     hits = index.postings.join(sized(anchors, 2 * n), "term").select("row", "doc", "item", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
-    met = hits.groupBy("row", "doc", "item", "shift").agg(F.collect_set("ipos").alias("at"))
-    met = met.join(sized(windows.select("item", "first", "second").distinct(), n), "item").where("array_contains(at, first) and array_contains(at, second)")
-    aligned = cut(met.select("row", "item", "shift").distinct(), "aligned")
+    alignment = ["row", "doc", "item", "shift"]
+    met = hits.groupBy(*alignment).agg(F.collect_set("ipos").alias("at"))
+    pairs = windows.groupBy("item", "first", "second").agg(F.flatten(F.collect_list(F.expr("sequence(start, start + size - 1)"))).alias("spanned"))
+    met = met.join(sized(pairs, n), "item").where("array_contains(at, first) and array_contains(at, second)")
+    asked = met.groupBy(*alignment).agg(F.array_distinct(F.flatten(F.collect_list("spanned"))).alias("ipos"))
+    aligned = cut(asked.select(*alignment, F.explode("ipos").alias("ipos")), "aligned")
     rows = aligned.select("row").distinct()
 
-    # All terms' lists at those alignments.
-    near = index.postings.where("term <> 0").join(sized(rows, rows.count()), "row", "left_semi")
-    lists = near.join(aligned, "row").withColumn("ipos", F.col("pos") - F.col("shift")).where("ipos >= 0")
-    agree = lists.join(sized(places.select("item", "ipos", "term"), places.count()), ["item", "ipos", "term"])
-    full = agree.groupBy("row", "doc", "item", "shift").agg(F.collect_set("ipos").alias("at"))
-    spanned = full.join(sized(windows.select("item", "start", "size"), n), "item")
-    return spanned.where("size(array_intersect(at, sequence(start, start + size - 1))) = size").select("row", "doc", "item", "shift", "start", "size")
+    # The other terms' lists, only where those alignments put them.
+    expected = aligned.join(sized(places.select("item", "ipos", "term"), places.count()), ["item", "ipos"]).withColumn("pos", F.col("shift") + F.col("ipos"))
+    near = index.postings.where("term <> 0").join(sized(rows, rows.count()), "row", "left_semi").select("row", "pos", "term")
+    agree = expected.join(near, ["row", "pos", "term"]).groupBy(*alignment).agg(F.sort_array(F.collect_set("ipos")).alias("at"))
+    # Consecutive words have the same difference of place and rank.
+    ranks = agree.select(*alignment, F.posexplode("at").alias("rank", "ipos"))
+    runs = ranks.groupBy(*alignment, (F.col("ipos") - F.col("rank")).alias("run")).agg(F.min("ipos").alias("start"), F.count("*").cast("int").alias("size"))
+    least = spans.groupBy("item").agg(F.max("size").alias("least"))
+    return runs.join(sized(least, n), "item").where("size >= least").select(*alignment, "start", "size")
 
 
 def proximity_matches(index: PositionalIndex, places: DataFrame, within: int) -> DataFrame:
     """``(row, doc, item)``: documents in which the item's two rarest terms, in the item's order, stand at most ``within`` words further apart or closer than in the item."""
     rarest = places.where("df is not null").withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("df", "ipos"))).where("rank <= 2")
-    shifts = index.postings.join(rarest.select("item", "ipos", "term", "rank"), "term").select("row", "doc", "item", "rank", "ipos", "pos", (F.col("pos") - F.col("ipos")).alias("shift"))
+    rarest = rarest.select("item", "ipos", "term", "rank")
+    shifts = index.postings.join(sized(rarest, rarest.count()), "term").select("row", "doc", "item", "rank", "ipos", "pos", (F.col("pos") - F.col("ipos")).alias("shift"))
     cell = F.floor(F.col("shift") / (within + 1))
     one = shifts.where("rank = 1").selectExpr("row", "doc", "item", "ipos i1", "pos p1", "shift s1").withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("s1") / (within + 1)) + d)))
     two = shifts.where("rank = 2").select("row", "item", F.col("ipos").alias("i2"), F.col("pos").alias("p2"), F.col("shift").alias("s2"), cell.alias("cell"))
     return one.join(two, ["row", "item", "cell"]).where(f"abs(s1 - s2) <= {int(within)} and sign(p2 - p1) = sign(i2 - i1)").select("row", "doc", "item").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10) -> DataFrame:
-    """``(id, n_words, n_hit, n_items, items, contaminated)``, one row per row of ``docs``.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = 10, within: int | None = None) -> DataFrame:
+    """``(id, n_words, n_hit, n_items, items, contaminated)``, one row per row of ``docs``; with ``within`` also ``n_near``.
 
     Words are runs of digits, letters and non-ASCII characters, A-Z lower-cased. A window is
     ``length`` consecutive words of an item, or all of a shorter one. ``n_hit`` counts the
     document's words inside any occurrence of a window, ``items`` lists the ids of the items with
-    such windows, sorted as strings and joined by commas.
+    such windows, sorted as strings and joined by commas. ``n_near`` is the number of items near by:
+    see :func:`proximity_matches`; items of fewer than two words that occur anywhere have none.
 
     Null and empty texts have no words: such documents are clean, such items occur nowhere. Rows
     that repeat a document's id are searched on their own; texts that repeat an item's id count
@@ -135,8 +146,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matches = cut(phrase_matches(index, places, length), "matches")
     covered = matches.select("row", F.explode(F.expr("sequence(shift + start, shift + start + size - 1)")).alias("pos")).distinct()
     hit = covered.groupBy("row").agg(F.count("*").alias("n_hit"))
-    named = matches.select("row", "item").distinct().join(items.select("item", "name"), "item").groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    out = index.documents().join(hit.join(named, "row", "left"), "row", "left")
+    names = items.select("item", "name")
+    named = matches.select("row", "item").distinct().join(names, "item").groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    found = hit.join(named, "row", "left")
+    if within is not None:
+        near = proximity_matches(index, places, within).join(names, "item").groupBy("row").agg(F.count_distinct("name").alias("n_near"))
+        found = found.join(near, "row", "full")
+    out = index.documents().join(found, "row", "left")
+    more = () if within is None else (F.coalesce("n_near", F.lit(0)).alias("n_near"),)
     return out.select(
         F.col("doc").alias(id_col),
         "n_words",
@@ -144,4 +161,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce(F.size("names"), F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce(F.array_join("names", ","), F.lit("")).alias("items"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        *more,
     )

@@ -56,9 +56,22 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY doc_id
         ), items AS (
             SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id
+        ), dw AS (
+            SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d
+        ), iw AS (
+            SELECT item_id, unnest(w) AS word, unnest(range(0, len(w))) AS ipos FROM i
+        ), counted AS (
+            SELECT word, count(*) AS df FROM dw WHERE word IN (SELECT word FROM iw) GROUP BY word
+        ), rarest AS (
+            SELECT item_id, word, ipos, row_number() OVER (PARTITION BY item_id ORDER BY df, ipos) AS r FROM iw JOIN counted USING (word)
+        ), stand AS (
+            SELECT doc_id, item_id, r, ipos, pos FROM rarest JOIN dw USING (word) WHERE r <= 2
+        ), near AS (
+            SELECT a.doc_id, count(DISTINCT a.item_id) AS n_near FROM stand a JOIN stand b ON a.doc_id = b.doc_id AND a.item_id = b.item_id
+            WHERE a.r = 1 AND b.r = 2 AND abs((a.pos - a.ipos) - (b.pos - b.ipos)) <= 3 AND sign(b.pos - a.pos) = sign(b.ipos - a.ipos) GROUP BY a.doc_id
         )
-        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+        FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
     """,
     "op4_minhash_near_dedup": f"""
         WITH RECURSIVE d AS (

@@ -26,8 +26,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    out = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), length=10, within=3)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,19 @@ def test_proximity(spark, docs):
     assert {r.doc for r in near} == {1}
 
 
+def test_contamination_of_long_and_repeating_texts(spark, docs):
+    """A one-word item in a text of that word only, a line that repeats, an item of many windows, clashing column names."""
+    long = [f"t{k}" for k in range(900)]
+    text = " ".join(["filler", *long[100:700], "filler", *long[800:809]])
+    rows = [(1, "go " * 20000), (2, "one two three. " * 3000), (3, text), (4, "t5 x t6")]
+    frame = docs(rows).selectExpr("doc_id", "text", "1 as row", "2 as item", "3 as pos", "4 as word")
+    items = spark.createDataFrame([(7, "Go"), (8, "one two three"), (9, " ".join(long)), (None, None)], "item_id bigint, text string")
+    out = contamination(frame, items.selectExpr("*", "0 as row"), length=10, within=3).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in out] == [(20000, 20000, 1, "7", True), (9000, 9000, 1, "8", True), (611, 600, 1, "9", True), (3, 0, 0, "", False)]
+    # of the long item's words that occur once, t5 and t6 stand first: row 4 has them, one word further apart
+    assert [r.n_near for r in out] == [0, 1, 0, 1]
+
+
 def test_licenses(docs):
     rng = random.Random(1)
     filler = "the of in version license public mit cc by gnu general apache x y z".split()
