@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import cut, discard
+
 #: Queries that are searched for in one pass over the candidates; bounds what the driver and each task hold.
 QUERY_BLOCK = 4096
 #: Candidates that are laid out at a time, and dimensions added at a time.
@@ -102,24 +104,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     are one query each by its first vector. Components and scores that a long can't hold are taken as
     the nearest that it can. With fewer candidates all are returned.
 
-    Queries are taken in blocks of about ``QUERY_BLOCK``: each block, held by every task, passes
-    over all candidates, and each task returns its ``k`` best for each query.
+    Queries are taken in blocks of about ``QUERY_BLOCK``, one after the other: each block, held by
+    the driver and every task while it lasts, passes over all candidates, and each task's ``k`` best
+    for each of its queries are written before the next block is read.
     """
     spark = vectors.sparkSession
     shaped = lambda df: df.select(F.col(id_col).cast("bigint").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
-    asked = shaped(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    parts = -(-n // QUERY_BLOCK)
+    asked = cut(shaped(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    parts = -(-asked.count() // QUERY_BLOCK)
     schema = "query_id bigint, vec_id bigint, score bigint"
-    found = None
+    found = spark.createDataFrame([], schema)
     for part in range(parts):
         block: dict[int, list] = {}
         for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect():
             block.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
         if block:
-            mine = shaped(vectors).mapInPandas(_searcher(block, k), schema)
-            found = mine if found is None else found.union(mine)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+            found = found.union(cut(shaped(vectors).mapInPandas(_searcher(block, k), schema), "best"))
+    discard(asked)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

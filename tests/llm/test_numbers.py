@@ -18,7 +18,9 @@ tokenizers = pytest.importorskip("public_tokenizers")
 ODD = ["", None, "  ", " a", "a ", "a  b", "\n a", "a \n b\t c", "<|endoftext|> x", "<s>hi</s>", "it's we'll", "▁ ▁x", "é１ 中文 😀", "x" * 500, "word\x1cword word", "a" + " " * 30 + "b"]
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_top_k(spark, monkeypatch, block):
+    monkeypatch.setattr("tessera.llm.topk.QUERY_BLOCK", block)
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=20).tolist()) for k in range(300)] + [(300, None), (301, [1.0, None] * 10), (302, [float("nan")] * 20), (400, [1.0, 2.0]), (500, [3.0, 4.0]), (None, [1.0] * 20), (7, [0.5] * 20), (600, []), (700, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
