@@ -274,14 +274,14 @@ def select(fields: list, item) -> list:
     if isinstance(item, range):
         return [fields[at(k)] for k in item]
     if t.is_type(item):
-        want = {int: t.is_int, float: t.is_float}.get(item, lambda k: k == t.as_type(item))
+        want = item.holds if isinstance(item, t.ltype) else {int: t.is_int, float: t.is_float}.get(item, lambda k: k == t.as_type(item))
         return [x for x in fields if want(x[2])]
     if isinstance(item, (list, tuple)):
         if item and all(isinstance(x, bool) for x in item):
             if len(item) != len(fields):
                 raise ValueError(f"a mask of {len(item)} for {len(fields)} columns")
             return [x for x, m in zip(fields, item, strict=True) if m]
-        if len({type(x) for x in item}) > 1:
+        if len({T.DataType if t.is_type(x) else type(x) for x in item}) > 1:
             raise TypeError("a list of columns mixes kinds of selectors")
         return [y for x in item for y in select(fields, x)]
     raise TypeError(f"no selector of columns: {item!r}")

@@ -58,6 +58,11 @@ class Order(NamedTuple):
         return c.asc_nulls_last() if self.last else c.asc_nulls_first()
 
 
+def _is_table(x) -> bool:
+    """Whether ``x`` is columns of values from numpy or pandas, or a range."""
+    return isinstance(x, range) or type(x).__module__.partition(".")[0] in ("numpy", "pandas") and getattr(x, "ndim", 0) > 0
+
+
 def _sorted(order: list[Order] | None) -> list[Column]:
     return [o.sorted() for o in order or ()]
 
@@ -107,6 +112,14 @@ class Frame:
     def types(self) -> list[T.DataType]:
         return [k for _, _, k in self.fields]
 
+    @property
+    def stypes(self) -> tuple[T.DataType, ...]:
+        return tuple(self.types)
+
+    @property
+    def ltypes(self) -> tuple:
+        return tuple(map(t.ltype.of, self.types))
+
     @property
     def ncols(self) -> int:
         return len(self.fields)
@@ -115,6 +128,20 @@ class Frame:
     def nrows(self) -> int:
         return self.df.count()
 
+    @nrows.setter
+    def nrows(self, n: int):
+        """The first ``n`` rows; beyond the last one, rows of NA."""
+        if not isinstance(n, int) or isinstance(n, bool):
+            raise TypeError("a number of rows is a whole number")
+        if n < 0:
+            raise ValueError("a number of rows is not negative")
+        if self.key_names:
+            raise ValueError("a keyed frame's rows are not added or cut")
+        placed, _ = placed_rows(self.df, _sorted(self.order))
+        rows = self.df.sparkSession.range(n).withColumnRenamed("id", "__pos")
+        self.df = rows.join(placed, "__pos", "left").select(*map(_col, self.names), F.col("__pos").alias("__rid"))
+        self.order = [Order(F.col("__rid"))]
+
     @property
     def shape(self) -> tuple[int, int]:
         return self.nrows, self.ncols
@@ -124,6 +151,12 @@ class Frame:
     def __len__(self):
         return self.ncols
 
+    def __iter__(self):
+        return (self[:, n] for n in self.names)
+
+    def __reversed__(self):
+        return (self[:, n] for n in self.names[::-1])
+
     def __repr__(self):
         return f"Frame[{', '.join(f'{n}: {k.simpleString()}' for n, _, k in self.fields)}]"
 
@@ -170,8 +203,17 @@ class Frame:
         if len(item) == 2 and isinstance(item[0], int) and not isinstance(item[0], bool) and isinstance(item[1], (int, str)):
             rows = self[item[0], :]._positioned_rows(item[1])
             return rows
+        if len(item) > 1 and (isinstance(item[1], Frame) or _is_table(item[1]) and not isinstance(item[1], range)):
+            return self._beside(Frame(item[1]), item)
         return _Query(self, item).result()
 
+    def _beside(self, other: Frame, item: tuple) -> Frame:
+        """The columns of a frame of as many rows, or of one, chosen and grouped by this one's rows."""
+        from tessera.operators.shape import cbind
+
+        out = cbind(self, other)[(item[0], slice(self.ncols, None), *item[2:])]
+        return out._renamed(out.names[: -other.ncols] + other.names)
+
     def _positioned_rows(self, column):
         name = select(self.fields, column)[0][1]
         rows = self.df.select(_col(name)).take(1)
@@ -263,8 +305,21 @@ class Frame:
     def to_arrow(self):
         return self.sorted_df().toArrow()
 
-    def to_numpy(self):
-        return self.to_pandas().to_numpy()
+    def to_numpy(self, type=None, column=None):
+        """All columns, or one, as an array; columns with NA as a masked one."""
+        import numpy as np
+
+        frame = self if column is None else self[:, column]
+        if type is not None:
+            frame = frame[:, f[:].as_type(type)]
+        data = frame.to_pandas()
+        values, gone = data.to_numpy(), data.isna().to_numpy()
+        if gone.any():
+            kinds = {k for k in frame.types}
+            if all(t.is_int(k) or k == t.BOOL for k in kinds):
+                values = data.fillna(0).to_numpy(np.dtype(bool if kinds == {t.BOOL} else np.int64))
+            values = np.ma.array(values, mask=gone)
+        return values[:, 0] if column is not None else values
 
     def to_csv(self, path: str = "", **options):
         from tessera.sources.files import to_csv
@@ -605,6 +660,10 @@ class _Query:
                 raise ValueError("a type is assigned to whole columns")
             to = t.as_type(value)
             parts, context = [Part(n, t.cast(_col(n), kinds[n], to), to) for n in targets], self._context()
+        elif not named and (isinstance(value, Frame) or _is_table(value)):
+            if mask is not None:
+                raise ValueError("a frame is assigned to whole columns")
+            parts, context = self._laid(Frame(value)), self._context()
         else:
             e = wrap(value) if not named else wrap([v for v in value.values()])
             context = self._context(spread=True)
@@ -631,6 +690,19 @@ class _Query:
         kept = [c for c in df.columns if not c.startswith("__") or c == "__rid" or c in self.frame.df.columns]
         self.frame.df = df.select(*((new[c].alias(c) if c in new else _col(c)) for c in kept), *(c.alias(n) for n, c in new.items() if n not in kept))
 
+    def _laid(self, other: Frame) -> list[Part]:
+        """The columns of a frame of as many rows, laid beside this one's."""
+        self.df, n = placed_rows(self.df, _sorted(self.frame.order))
+        rows, m = placed_rows(other.df, _sorted(other.order))
+        if m != n:
+            raise ValueError(f"{m} rows are assigned to {n}")
+        columns = [(f"__r{k}", kind) for k, kind in enumerate(other.types)]
+        self.df = self.df.join(rows.select("__pos", *(_col(c).alias(f"__r{k}") for k, c in enumerate(other.names))), "__pos")
+        if not self.frame.order:  # the order that rows were read in
+            self.df = self.df.withColumn("__rid", F.col("__pos"))
+            self.frame.order = [Order(F.col("__rid"))]
+        return [Part(None, _col(c), kind) for c, kind in columns]
+
     def _row_mask(self) -> Column | None:
         if self._everything():
             return None

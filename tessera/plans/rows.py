@@ -22,7 +22,7 @@ def placed_rows(df: DataFrame, order: list[Column] | None, name: str = "__pos")
     adds up one count for each partition.
     """
     spark = df.sparkSession
-    fields = df.schema.fields
+    fields = [x for x in df.schema if x.name != name]  # positions of before go
     typed = [k for k, x in enumerate(fields) if x.dataType != T.NullType()]
     col = lambda n: F.col(f"`{n}`")
     table = cut((df.orderBy(*order) if order else df).select(*(col(fields[k].name).alias(f"c{k}") for k in typed), F.monotonically_increasing_id().alias("m")), "rows")

@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera import functions as fn
+from tessera import types
 from tessera.expr import by, f, g, join, sort
 from tessera.frame import Frame
 from tessera.functions import math, strings, times
 from tessera.operators import models, shape
+from tessera.plans.tables import new_path
+from tessera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -369,6 +372,204 @@ def row_negative(table):
     return table("orders").sort("o_totalprice", "o_orderkey")[[-1, -4, -1000, slice(-20, -10)], "o_orderkey"]
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1 OFFSET 5")
+def row_int(table):
+    return table("orders").sort("o_totalprice", "o_orderkey")[5, ["o_orderkey", "o_totalprice"]]
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r FROM orders) WHERE r IN (3, 10, 17, 24, 31, 38, 45)")
+def row_range(table):
+    return table("orders").sort("o_totalprice", "o_orderkey")[range(3, 50, 7), "o_orderkey"]
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) WHERE r IN (0, 1, 4, 9, 16, 25)")
+def row_generator(table):
+    return table("customer").sort("c_custkey")[(k * k for k in range(6)), "c_custkey"]
+
+
+@query("SELECT r_name FROM region WHERE r_regionkey IN (0, 2, 4)")
+def row_truth_list(table):
+    return table("region").sort("r_regionkey")[[True, False, True, False, True], "r_name"]
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000")
+def row_truth_frame(table):
+    customer = table("customer").sort("c_custkey")
+    return customer[customer[:, f.c_acctbal > 5000], "c_custkey"]
+
+
+@query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS r FROM supplier) WHERE r IN (1, 3, 5)")
+def row_number_frame(table):
+    return table("supplier").sort("s_suppkey")[Frame([3, 1, 5]), "s_suppkey"]
+
+
+@query("(SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 3) UNION ALL (SELECT s_suppkey FROM supplier ORDER BY s_suppkey DESC LIMIT 2)")
+def head_and_tail(table):
+    supplier = table("supplier").sort("s_suppkey")[:, "s_suppkey"]
+    return shape.rbind(supplier.head(3), supplier.tail(2))
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT NULL, NULL FROM range(5)")
+def rows_added(table):
+    nation = table("nation").sort("n_nationkey")[:, ["n_nationkey", "n_name"]]
+    nation.nrows = 30
+    return nation
+
+
+# ---- columns ----
+
+
+@query("SELECT c_name, c_nationkey FROM customer")
+def cols_int_slice(table):
+    return table("customer")[:, 1:3]
+
+
+@query("SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")
+def cols_range(table):
+    return table("customer")[:, range(0, 5, 2)]
+
+
+@query("SELECT s_name, s_acctbal FROM supplier")
+def cols_truth_list(table):
+    return table("supplier")[:, [False, True, False, True]]
+
+
+@query("SELECT p_partkey, p_size FROM part")
+def cols_ltype(table):
+    return table("part")[:, types.ltype.int]
+
+
+@query("SELECT r_name, 7 AS k, 'abc' AS s, 2.5::DOUBLE AS d, TRUE AS b FROM region")
+def cols_literals(table):
+    return table("region")[:, {"r_name": f.r_name, "k": 7, "s": "abc", "d": 2.5, "b": True}]
+
+
+@query("SELECT p_size AS size, p_size + 1 AS next FROM part")
+def cols_alias(table):
+    return table("part")[:, [f.p_size.alias("size"), (f.p_size + 1).alias("next")]]
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def cols_of_a_frame(table):
+    supplier = table("supplier").sort("s_suppkey")
+    return supplier[f.s_acctbal > 0, supplier[:, ["s_suppkey", "s_name"]]]
+
+
+@query("SELECT c_custkey, lag(c_acctbal) OVER (ORDER BY c_custkey) AS before FROM customer")
+def assign_a_frame(table):
+    customer = table("customer").sort("c_custkey")
+    customer[:, "before"] = customer[:, fn.shift(f.c_acctbal)]
+    return customer[:, ["c_custkey", "before"]]
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS k FROM orders")
+def assign_a_range(table):
+    orders = table("orders").sort("o_orderkey")[:100, "o_orderkey"]
+    rest = table("orders").sort("o_orderkey")[100:, "o_orderkey"]
+    orders[:, "k"] = range(100)
+    rest[:, "k"] = fn.cumcount().alias("k") + 100
+    return shape.rbind(orders, rest[:, {"o_orderkey": f.o_orderkey, "k": f.k.as_type("int32")}])
+
+
+# ---- statistics of a frame ----
+
+
+@query("SELECT CAST(sum(p_size) AS BIGINT) AS p_size, CAST(NULL AS BIGINT) AS p_brand FROM part")
+def frame_sum(table):
+    return table("part")[:, ["p_size", "p_brand"]].sum()
+
+
+@query("SELECT min(c_acctbal) AS c_acctbal, min(c_nationkey) AS c_nationkey FROM customer UNION ALL SELECT max(c_acctbal), max(c_nationkey) FROM customer")
+def frame_min_max(table):
+    customer = table("customer")[:, ["c_acctbal", "c_nationkey"]]
+    return shape.rbind(customer.min(), customer.max())
+
+
+@query("SELECT round(avg(l_quantity), 9) AS q, round(avg(l_linenumber), 9) AS n FROM lineitem")
+def frame_mean(table):
+    return table("lineitem")[:, ["l_quantity", "l_linenumber"]].mean()[:, {"q": math.round(f.l_quantity, 9), "n": math.round(f.l_linenumber, 9)}]
+
+
+# ---- more of joins and expressions ----
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def join_across_types(table):
+    nation = table("nation")[:, ["n_nationkey", "n_name"]]
+    nation.key = "n_nationkey"
+    return table("customer")[:, {"c_custkey": f.c_custkey, "n_nationkey": f.c_nationkey.as_type(float)}][:, [f.c_custkey, g.n_name], join(nation)]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice, xor(CAST(l_discount > 0.05 AS INTEGER), CAST(l_tax > 0.05 AS INTEGER)) = 1 AS x FROM lineitem")
+def logical_xor(table):
+    return table("lineitem")[:, {"l_orderkey": f.l_orderkey, "l_linenumber": f.l_linenumber, "l_extendedprice": f.l_extendedprice, "x": (f.l_discount > 0.05) ^ (f.l_tax > 0.05)}]
+
+
+@query("SELECT p_partkey, round(log2(pow(2, p_size / 10) + pow(2, p_size / 20)), 9) AS l2, round(p_size * pi(), 6) AS p, round(p_size * exp(1), 6) AS e, round(p_size * 2 * pi(), 6) AS t, round(p_size * (1 + sqrt(5)) / 2, 6) AS g FROM part")
+def math_constants(table):
+    return table("part")[:, {"p_partkey": f.p_partkey, "l2": math.round(math.logaddexp2(f.p_size / 10, f.p_size / 20), 9), "p": math.round(f.p_size * math.pi, 6), "e": math.round(f.p_size * math.e, 6), "t": math.round(f.p_size * math.tau, 6), "g": math.round(f.p_size * math.golden, 6)}]
+
+
+# ---- sources and sinks ----
+
+
+@query("SELECT * FROM (VALUES (1, 2.5::DOUBLE, 'x', TRUE, DATE '2021-03-04'), (20, NULL, 'y', FALSE, NULL), (NULL, -1e300, 'z', NULL, DATE '1969-12-31')) AS v(i, d, s, b, t)")
+def fread_types(table):
+    return files.fread(text='i,d,s,b,t\n1,2.5,x,true,2021-03-04\n20,,y,false,\n,-1e300,z,,1969-12-31\n')
+
+
+@query("SELECT * FROM (VALUES (1, 'two' || chr(10) || 'lines'), (2, 'a \"quoted\" one'), (3, 'with, comma')) AS v(k, s)")
+def fread_quotes(table):
+    return files.fread(text='k,s\n1,"two\nlines"\n2,"a ""quoted"" one"\n3,"with, comma"\n')
+
+
+@query("SELECT * FROM (VALUES (1, 2, NULL), (3, 4, 5), (6, NULL, NULL)) AS v(a, b, c)")
+def fread_fill(table):
+    return files.fread(text="a,b,c\n1,2\n3,4,5\n6\n", fill=True)
+
+
+@query("SELECT * FROM (VALUES (1, NULL), (NULL, 'b'), (3, 'c')) AS v(a, b)")
+def fread_na_strings(table):
+    return files.fread(text="a;b\n1;none\n-;b\n3;c\n", na_strings=["none", "-"])
+
+
+@query("SELECT * FROM (VALUES (1, 2), (3, 4)) AS v(x, y)")
+def fread_skip_to_string(table):
+    return files.fread(text="remarks\nand more\nx,y\n1,2\n3,4\n", skip_to_string="x,y")
+
+
+@query("SELECT * FROM (VALUES (1, 2), (3, 4)) AS v(x, z)")
+def fread_columns(table):
+    return files.fread(text="x,y,z\n1,a,2\n3,b,4\n", columns=["x", None, "z"])
+
+
+@query("SELECT * FROM (VALUES (1), (2), (3)) AS v(x)")
+def iread_parts(table):
+    return shape.rbind(*files.iread(["x\n1\n2\n", "x\n3\n"]))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(table):
+    return files.fread(text=table("nation").to_csv(quoting="all"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def parquet_round_trip(table):
+    supplier = table("supplier")
+    supplier.key = "s_suppkey"
+    path = new_path(supplier.df.sparkSession, "frame")
+    supplier.to_jay(path)
+    back = files.load(path)
+    if back.key != ("s_suppkey",):
+        raise ValueError(f"the key came back as {back.key}")
+    return back
+
+
+@query("SELECT * FROM (VALUES (1, 'a', 0.5::DOUBLE), (NULL, 'b', NULL), (3, NULL, 2.0)) AS v(i, s, d)")
+def frame_from_python(table):
+    return Frame({"i": [1, None, 3], "s": ["a", "b", None], "d": [0.5, float("nan"), 2.0]})
+
+
 # ---- sort ----
 
 

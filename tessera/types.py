@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
+import enum
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +20,44 @@ ALIASES = {
 }
 
 
+class Type:
+    """Spark's types by the names of frame types."""
+
+    void, bool8, int8, int16, int32, int64 = VOID, BOOL, INT8, INT16, INT32, INT64
+    float32, float64, str32, str64, date32, time64 = FLOAT32, FLOAT64, STR, STR, DATE, TIME
+
+    @staticmethod
+    def arr32(of) -> T.DataType:
+        return T.ArrayType(as_type(of))
+
+    arr64 = arr32
+
+
+stype = Type
+
+
+class ltype(enum.Enum):
+    """Kinds of types: each selects all columns of its kind, and casts to the widest of them."""
+
+    void, bool, int, real, str, time = "void", "bool", "int", "real", "str", "time"
+
+    def holds(self, k: T.DataType) -> builtins.bool:
+        return {"void": k == VOID, "bool": k == BOOL, "int": is_int(k), "real": is_float(k), "str": k == STR, "time": is_temporal(k)}[self.value]
+
+    @classmethod
+    def of(cls, k: T.DataType) -> ltype | None:
+        return next((x for x in cls if x.holds(k)), None)
+
+
+_WIDEST = {"void": VOID, "bool": BOOL, "int": INT64, "real": FLOAT64, "str": STR, "time": TIME}
+
+
 def as_type(x) -> T.DataType:
-    """A Spark type from a Python type, a name or a Spark type."""
+    """A Spark type from a Python type, a name, a kind or a Spark type."""
     if isinstance(x, T.DataType):
         return x
+    if isinstance(x, ltype):
+        return _WIDEST[x.value]
     if isinstance(x, str) and x.startswith(("arr32(", "arr64(")):
         return T.ArrayType(as_type(x[6:-1]))
     try:
@@ -30,7 +67,7 @@ def as_type(x) -> T.DataType:
 
 
 def is_type(x) -> bool:
-    return isinstance(x, (type, T.DataType)) and (isinstance(x, T.DataType) or x in ALIASES)
+    return isinstance(x, (T.DataType, ltype)) or isinstance(x, type) and x in ALIASES
 
 
 def is_int(t: T.DataType) -> bool:
